@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import urls
+from pyspark.sql import functions as F
+
+from sparkloom.llm import boosted, quality, secretscan, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +37,29 @@ SELECT page_id, p.host, p.path, rule, CASE WHEN act IS NOT NULL THEN act WHEN li
 FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path"""
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_confirmed", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return boosted.judge(docs, boosted.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {"op2_url_filter": op2_url_filter}
+    return {
+        "op2_url_filter": op2_url_filter,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_secret_scan": op5_secret_scan,
+        "op7_quality_rules": op7_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
