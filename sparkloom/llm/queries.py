@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import boosted, quality, secretscan, urls
+from sparkloom.llm import boosted, langid, pieces, quality, secretscan, stats, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,17 +48,34 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_confirmed", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
 
 
+#: The SentencePiece model file, on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(PIECE_MODEL))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return boosted.judge(docs, boosted.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", F.coalesce(stats.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {
         "op2_url_filter": op2_url_filter,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_secret_scan": op5_secret_scan,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_quality_rules": op7_quality_rules,
+        "op10_language_id": op10_language_id,
     }
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240117)
 _TABLES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
