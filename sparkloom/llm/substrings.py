@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textkit
-from sparkloom.llm.shared import partitions, plan_bytes, written
+from sparkloom.plans.shared import partitions, plan_bytes, written
 
 WINDOW = 50
 #: A window of n words holds a whole block of a grid of (n + 1) // 2 words.
