@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import boosted, langid, pieces, quality, secretscan, stats, substrings, urls
+from sparkloom.llm import boosted, langid, nearcopies, pieces, quality, secretscan, stats, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted.judge(docs, boosted.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
@@ -91,6 +95,7 @@ def queries() -> dict:
         "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_quality_rules": op7_quality_rules,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_language_id": op10_language_id,
     }
 
