@@ -6,13 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import boosted, langid, nearcopies, pieces, quality, secretscan, stats, substrings, urls
+from sparkloom.llm import boosted, decontaminate, langid, nearcopies, pieces, quality, secretscan, stats, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op1_sql() -> str:
+    d = decontaminate
+    keep = lambda kind, group: f"{d.OPEN}{kind}:\\{group}{d.CLOSE}"
+    marked = f"regexp_replace(text, '{d.NAME}', '\\1{keep('n', 2)}', 'g')"
+    marked = f"regexp_replace({marked}, '({d.NUMBER})', '{keep('d', 1)}', 'g')"
+    marked = f"lower(regexp_replace({marked}, '({d.CLOSE})([ -]?)((?i:{d.UNITS}))\\b', '\\1\\2{keep('u', 3)}', 'g'))"
+    words = f"regexp_extract_all({marked}, '{d.TOKEN}')"
+    width = "CASE " + " ".join(f"WHEN len(ws) BETWEEN {low} AND {high} THEN {w}" for w, _, low, high in d.classes()) + " END"
+    window = f"list_transform(ws[i:i + width - 1], lambda t: CASE WHEN starts_with(t, '{d.OPEN}') THEN t[1:2] ELSE t END)"
+    slots = f"list_transform(list_filter(ws[i:i + width - 1], lambda t: starts_with(t, '{d.OPEN}')), lambda t: t[4:])"
+    return f"""
+WITH b AS (SELECT item_id, ws, {width} AS width FROM (SELECT item_id, {words} AS ws FROM benchmark WHERE text IS NOT NULL)),
+iw AS (SELECT item_id, i, width, {window} AS h, {slots} AS slots FROM b, unnest(generate_series(1, len(ws) - width + 1)) AS t(i) WHERE width IS NOT NULL),
+d AS (SELECT doc_id, width, {words} AS ws FROM documents, (SELECT DISTINCT width FROM iw) WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+dw AS (SELECT doc_id, i, width, {window} AS h, {slots} AS slots FROM d, unnest(generate_series(1, len(ws) - width + 1)) AS t(i) WHERE len(ws) >= width),
+m AS (SELECT doc_id, item_id, dw.i - iw.i AS diagonal, iw.i, iw.slots AS a, dw.slots AS b FROM dw JOIN iw USING (h, width)),
+z AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(a) AS a, unnest(b) AS b FROM m),
+s AS (SELECT doc_id, item_id, diagonal, count(*) AS n, bool_or(a <> b) AS other, count(DISTINCT a) = count(*) AND count(DISTINCT b) = count(*) AS ok FROM z GROUP BY ALL),
+g AS (SELECT m.*, coalesce(n, 0) AS n, coalesce(other, false) AS other FROM m LEFT JOIN s USING (doc_id, item_id, diagonal) WHERE coalesce(ok, true)),
+t AS (SELECT item_id, count(DISTINCT i) AS n_windows FROM iw GROUP BY item_id),
+r AS (SELECT doc_id, item_id, count(DISTINCT i) AS n_matched, max(n)::BIGINT AS n_slots, bool_or(other) AS reparameterised FROM g GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS share, n_slots, reparameterised FROM r JOIN t USING (item_id) WHERE n_matched / n_windows >= {d.LEAST_SHARE}"""
+
+
 #: Rules of the URL filter, as its contract fixes them: (action, entry).
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Canonical URLs blocked where no rule fits.
@@ -89,6 +117,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_url_filter": op2_url_filter,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_classifier": op4_quality_classifier,
@@ -101,4 +130,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_substring_dedup": OP3_SQL}
+    return {"op1_decontamination": _op1_sql(), "op2_url_filter": OP2_SQL, "op3_substring_dedup": OP3_SQL}
