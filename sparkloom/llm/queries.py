@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import boosted, decontaminate, langid, nearcopies, pieces, quality, secretscan, stats, substrings, urls
+from sparkloom.llm import boosted, decontaminate, langid, licences, nearcopies, pieces, quality, secretscan, stats, substrings, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,36 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted.judge(docs, boosted.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return licences.scan(files).withColumn("licences", F.array_join("licences", ","))
+
+
+def _op8_sql() -> str:
+    m = licences
+    idf, units, other = m.weights()
+    cue = lambda x: "(" + " OR ".join(f"contains({x}, '{c}')" for c in m.CUES) + ")"
+    return f"""
+WITH idf(term, idf) AS (VALUES {", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in idf)}),
+units(template, licence, term, unit) AS (VALUES {", ".join(f"({k}, '{n}', '{t}', {x!r}::DOUBLE)" for k, n, t, x in units)}),
+f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id || '.txt') AS path, text FROM documents),
+low AS (SELECT doc_id, lower(text) AS low FROM f WHERE doc_id IS NOT NULL AND {cue("lower(text)")}),
+raw AS (SELECT doc_id, 0 AS kind, low AS seg FROM low UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(low, '\n[ \t\r]*\n')) FROM low UNION ALL SELECT doc_id, 2, unnest(string_split(low, chr(10))) FROM low),
+segs AS (SELECT doc_id, trim(seg) AS seg, min(kind) AS kind FROM raw WHERE {cue("seg")} GROUP BY doc_id, trim(seg)),
+tf AS (SELECT doc_id, kind, seg, term, count(*) AS n FROM (SELECT doc_id, kind, seg, unnest(regexp_extract_all(seg, '{m.TERM}')) AS term FROM segs) GROUP BY ALL),
+w AS (SELECT tf.*, n * coalesce(idf, {other!r}) AS w FROM tf LEFT JOIN idf USING (term)),
+norms AS (SELECT doc_id, seg, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dots AS (SELECT doc_id, kind, seg, template, licence, sum(w * unit) AS dot FROM w JOIN units USING (term) GROUP BY ALL),
+s AS (SELECT doc_id, kind, seg, licence, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, seg) WHERE round(dot / norm, 6) >= {m.LEAST_COSINE}),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, seg ORDER BY cosine DESC, licence) = 1),
+own AS (SELECT doc_id, arg_min(licence, (-cosine, kind, licence)) AS licence, max(cosine) AS cosine, array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences, min(kind) = 0 AS whole FROM b GROUP BY doc_id),
+ff AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, licence, cosine, licences, whole FROM f LEFT JOIN own USING (doc_id)),
+covers AS (SELECT dir AS root, arg_min(licence, (-cosine, path, licence)) AS inherited FROM ff WHERE whole OR (licence IS NOT NULL AND regexp_matches(lower(regexp_extract(path, '[^/]*$', 0)), '^(?:{m.FILE_NAMES})(?:[._-].*)?$')) GROUP BY dir),
+near AS (SELECT dir, arg_max(inherited, length(root)) AS inherited FROM (SELECT DISTINCT dir FROM ff) d JOIN covers ON root = '' OR dir = root OR starts_with(dir, root || '/') GROUP BY dir)
+SELECT doc_id, path, coalesce(licence, inherited) AS licence, cosine, CASE WHEN licence IS NOT NULL THEN 'declared' WHEN inherited IS NOT NULL THEN 'inherited' END AS origin, coalesce(licences, '') AS licences FROM ff LEFT JOIN near USING (dir)"""
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.classes(table(spark, sf_dir, "documents"))
 
@@ -124,10 +154,11 @@ def queries() -> dict:
         "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_quality_rules": op7_quality_rules,
+        "op8_license_scan": op8_license_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _op1_sql(), "op2_url_filter": OP2_SQL, "op3_substring_dedup": OP3_SQL}
+    return {"op1_decontamination": _op1_sql(), "op2_url_filter": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_license_scan": _op8_sql()}
