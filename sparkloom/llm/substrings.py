@@ -109,22 +109,41 @@ def unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs[unplanes(r["refs"], r["n"]).astype(np.int64)], np.cumsum(unplanes(r["hashes"], r["n"])), unplanes(r["extra"], r["n"])
 
 
-def by_bucket(packed: DataFrame, buckets: int, reduce: Callable, schema: str) -> DataFrame:
-    """Brings the rows of each bucket together and reduces them: reduce(ids, hashes, extras) gives ids and hashes, which become one row a document."""
+def spark_hash(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long, for the same dealing of documents in both places."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1 ^ (p5 + np.uint64(42 + 8))
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def by_bucket(packed: DataFrame, buckets: int, reduce: Callable, what: str) -> DataFrame:
+    """Brings the rows of each bucket together and reduces them.
+
+    reduce(ids, hashes, extras) gives ids and hashes; they are packed for each part of the
+    documents (``part``), so a bucket gives one row a part, however many documents it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if parts:
-                doc, h = reduce(*[np.concatenate(x) for x in zip(*parts, strict=True)])
-                order = np.argsort(doc, kind="stable")
-                doc, h = doc[order], h[order]
-                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-                ends = np.append(first[1:], len(doc))
-                width = h.dtype.itemsize
-                raw = h.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array([raw[width * a : width * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["id", "hits"])
+            if not parts:
+                return
+            doc, h = reduce(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+            part = np.mod(spark_hash(doc), buckets)
+            order = np.lexsort((doc, part))
+            doc, h, part = doc[order], h[order], part[order]
+            cuts = np.searchsorted(part, np.arange(buckets + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)):
+                docs, counts = np.unique(doc[cuts[k] : cuts[k + 1]], return_counts=True)
+                head = np.array([len(docs)], np.int64).tobytes()
+                rows.append((k, b"".join(len(x).to_bytes(8, "little") + x for x in (head, planes(deltas(docs.view(np.uint64))), planes(counts.astype(np.uint64)), h[cuts[k] : cuts[k + 1]].tobytes()))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "hits"])
 
         for b in batches:
             for r in b.to_pylist():
@@ -134,7 +153,70 @@ def by_bucket(packed: DataFrame, buckets: int, reduce: Callable, schema: str) ->
                 parts.append(unpack(r))
         yield from done()
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return written(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, hits binary"), what)
+
+
+class Hits:
+    """The hashes of each document of a part."""
+
+    def __init__(self, rows: list[bytes], dtype):
+        docs, counts, values = [], [], []
+        for raw in rows:
+            fields, at = [], 0
+            while at < len(raw):
+                n = int.from_bytes(raw[at : at + 8], "little")
+                fields.append(raw[at + 8 : at + 8 + n])
+                at += 8 + n
+            n = int(np.frombuffer(fields[0], np.int64)[0])
+            docs.append(np.cumsum(unplanes(fields[1], n)).view(np.int64))
+            counts.append(unplanes(fields[2], n).astype(np.int64))
+            values.append(np.frombuffer(fields[3], dtype))
+        if not docs:
+            self.docs, self.off, self.values = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, dtype)
+            return
+        doc = np.concatenate([np.repeat(d, c) for d, c in zip(docs, counts, strict=True)])
+        order = np.argsort(doc, kind="stable")
+        self.values = np.concatenate(values)[order]
+        self.docs, first = np.unique(doc[order], return_index=True)
+        self.off = np.append(first, len(doc))
+
+    def of(self, ids: list[int | None]) -> list[np.ndarray | None]:
+        if not len(self.docs):
+            return [None] * len(ids)
+        at = np.minimum(np.searchsorted(self.docs, [i or 0 for i in ids]), len(self.docs) - 1)
+        return [self.values[self.off[k] : self.off[k + 1]] if i is not None and self.docs[k] == i else None for i, k in zip(ids, at.tolist(), strict=True)]
+
+
+def beside(rows: DataFrame, hits: DataFrame, buckets: int, dtype, work: Callable, schema: str) -> DataFrame:
+    """Streams documents past the hits of their part: work(ids, slice, hits of each document) yields batches.
+
+    One part's hits are in memory at a time; a part is a share of the documents by a hash of their id.
+    """
+    part = lambda c: F.pmod(c, F.lit(buckets))
+    texts = rows.select(part(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))).alias("part"), F.lit(1).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("hits"))
+    both = texts.unionByName(hits.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "hits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, raw, known = None, [], None
+        for b in batches:
+            parts, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            key = parts * 2 + kinds
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if parts[i] != at:
+                    at, raw, known = parts[i], [], None
+                if not kinds[i]:
+                    raw += b.column(4).slice(i, j - i).to_pylist()
+                    continue
+                if known is None:
+                    known, raw = Hits(raw, dtype), []
+                for x, y, s in textkit.slices(b.column(3).slice(i, j - i)):
+                    ids = b.column(2).slice(i + x, y - x)
+                    yield from work(ids, s, known.of(ids.to_pylist()))
+
+        yield from work(None, None, None)
+
+    return both.repartition(buckets, "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
 def shared_blocks(doc: np.ndarray, h: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,26 +239,24 @@ def not_the_first(doc: np.ndarray, h: np.ndarray, check: np.ndarray) -> tuple[np
     return doc[keep], h[keep]
 
 
-def _gathered(hits: DataFrame) -> DataFrame:
-    """One row a document; a document's rows are at most one a bucket."""
-    return hits.groupBy("id").agg(F.collect_list("hits").alias("hits"))
-
-
-def _members(s: textkit.Slice, values: np.ndarray, at: np.ndarray, hits: pa.Array, dtype) -> np.ndarray:
+def _members(s: textkit.Slice, values: np.ndarray, at: np.ndarray, hits: list[np.ndarray | None]) -> np.ndarray:
     """Which windows' values are among their document's hits."""
     bounds = np.searchsorted(at, s.word_off)
     out = np.zeros(len(at), bool)
-    for d, own in enumerate(hits.to_pylist()):
-        if own:
-            out[bounds[d] : bounds[d + 1]] = np.isin(values[bounds[d] : bounds[d + 1]], np.frombuffer(b"".join(own), dtype))
+    for d, own in enumerate(hits):
+        if own is not None:
+            out[bounds[d] : bounds[d + 1]] = np.isin(values[bounds[d] : bounds[d + 1]], own)
     return out
 
 
-def repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents (id) with the 64-bit hashes (hits) of their windows that start in a document with a smaller id."""
+def _parts(rows: DataFrame) -> int:
+    return partitions(rows.sparkSession, plan_bytes(rows), BUCKET_BYTES)
+
+
+def repeats(docs: DataFrame, buckets: int, *, window: int = WINDOW) -> DataFrame:
+    """Packed hashes (64 bits) of each document's windows that start in a document with a smaller id; docs: (id, text)."""
     block = (window + 1) // 2
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= 2 * window - 1))
-    buckets = partitions(docs.sparkSession, plan_bytes(rows), BUCKET_BYTES)
+    rows = docs.where(F.col("id").isNotNull() & (F.length("text") >= 2 * window - 1))
 
     def anchors(batches):
         packer = Packer(HASH_BITS, buckets)
@@ -191,49 +271,51 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", te
                 yield from packer.add(ids, doc, h >> np.uint64(64 - HASH_BITS), (at - s.word_off[doc]) % block == 0)
         yield from packer.flush()
 
-    packed = rows.mapInArrow(anchors, Packer.schema)
-    hits = written(by_bucket(packed, buckets, shared_blocks, "id long, hits binary"), "anchors")
-
-    def extend(batches):
-        packer = Packer(64, buckets)
-        for b in batches:
-            for i, j, s in textkit.slices(b.column(1)):
-                ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
-                at, h = s.windows(block)
-                hit = at[_members(s, (h >> np.uint64(64 - HASH_BITS)).astype(np.uint32), at, b.column(2).slice(i, j - i), np.uint32)]
-                near = np.zeros(len(s.starts) + 1, np.int64)
-                near[hit + 1] = 1
-                near = np.cumsum(near)
-                word_doc = s.word_doc()
-                full = np.flatnonzero(s.word_off[1:][word_doc] - np.arange(len(s.starts)) >= window)
-                full = full[near[full + window - block + 1] > near[full]]
-                _, h = s.windows(window, 0, full)
-                _, check = s.windows(window, 1, full)
-                yield from packer.add(ids, word_doc[full], h, check >> np.uint64(48))
-        yield from packer.flush()
-
-    near = rows.join(_gathered(hits), "id").select("id", "text", "hits")
-    return written(by_bucket(near.mapInArrow(extend, Packer.schema), buckets, not_the_first, "id long, hits binary"), "repeats")
-
-
-def remove(docs: DataFrame, found: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_removed, kept (the words left, joined by one space)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(_gathered(found), "id", "left").select("id", "text", "hits")
-
-    def run(batches):
-        for b in batches:
-            for i, j, s in textkit.slices(b.column(1)):
-                word_doc = s.word_doc()
-                full = np.flatnonzero(s.word_off[1:][word_doc] - np.arange(len(s.starts)) >= window)
-                hits = b.column(2).slice(i, j - i)
-                gone = np.zeros(len(s.starts), bool)
-                if hits.null_count < len(hits):
-                    _, h = s.windows(window, 0, full)
-                    gone = s.covered(full[_members(s, h, full, hits, np.uint64)], window)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s.n_words.astype(np.int64)), pa.array(s.per_doc_words(gone)), kept_words(s, ~gone)], names=["id", "n_words", "n_removed", "kept"])
+    hits = by_bucket(rows.mapInArrow(anchors, Packer.schema), buckets, shared_blocks, "anchors")
+
+    def extend():
+        packer = None
+
+        def work(ids, s, hits):
+            nonlocal packer
+            packer = packer or Packer(64, buckets)
+            if s is None:
+                yield from packer.flush()
+                return
+            if all(x is None for x in hits):
+                return
+            at, h = s.windows(block)
+            hit = at[_members(s, (h >> np.uint64(64 - HASH_BITS)).astype(np.uint32), at, hits)]
+            near = np.zeros(len(s.starts) + 1, np.int64)
+            near[hit + 1] = 1
+            near = np.cumsum(near)
+            word_doc = s.word_doc()
+            full = np.flatnonzero(s.word_off[1:][word_doc] - np.arange(len(s.starts)) >= window)
+            full = full[near[full + window - block + 1] > near[full]]
+            _, h = s.windows(window, 0, full)
+            _, check = s.windows(window, 1, full)
+            yield from packer.add(ids.to_numpy(zero_copy_only=False), word_doc[full], h, check >> np.uint64(48))
+
+        return work
+
+    return by_bucket(beside(rows, hits, buckets, np.uint32, extend(), Packer.schema), buckets, not_the_first, "repeats")
+
+
+def remove(docs: DataFrame, found: DataFrame, buckets: int, *, window: int = WINDOW) -> DataFrame:
+    """Per row of docs (id, text): id, n_words, n_removed, kept (the words left, joined by one space)."""
+
+    def work(ids, s, hits):
+        if s is None:
+            return
+        word_doc = s.word_doc()
+        gone = np.zeros(len(s.starts), bool)
+        if any(x is not None for x in hits):
+            full = np.flatnonzero(s.word_off[1:][word_doc] - np.arange(len(s.starts)) >= window)
+            _, h = s.windows(window, 0, full)
+            gone = s.covered(full[_members(s, h, full, hits)], window)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(s.n_words.astype(np.int64)), pa.array(s.per_doc_words(gone)), kept_words(s, ~gone)], names=["id", "n_words", "n_removed", "kept"])
 
-    out = rows.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("id", id_col)
+    return beside(docs, found, buckets, np.uint64, work, "id long, n_words long, n_removed long, kept string")
 
 
 def kept_words(s: textkit.Slice, keep: np.ndarray) -> pa.Array:
@@ -255,4 +337,7 @@ def kept_words(s: textkit.Slice, keep: np.ndarray) -> pa.Array:
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return remove(docs, repeats(docs, window=window, id_col=id_col, text_col=text_col), window=window, id_col=id_col, text_col=text_col)
+    """Per row: id, n_words, n_removed, kept."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    buckets = _parts(rows)
+    return remove(rows, repeats(rows, buckets, window=window), buckets, window=window).withColumnRenamed("id", id_col)
