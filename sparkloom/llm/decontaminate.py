@@ -88,10 +88,13 @@ def classes() -> list[tuple[int, int, int, int]]:
 
 
 def _windows(df: DataFrame, width: int) -> DataFrame:
-    """id, place, hash and slot values of every window; df: id, words (with values), plain."""
-    at = df.select("id", "words", "plain", F.explode(starts(F.size("plain"), width, 1)).alias("place"))
-    cut = F.slice("words", F.col("place") + 1, F.lit(width))
-    return at.select("id", "place", F.lit(width).alias("width"), F.xxhash64(F.slice("plain", F.col("place") + 1, F.lit(width))).alias("h"), values(cut).alias("slots"))
+    """id, place, hash and tokens of every window; df: id, words (with values), plain.
+
+    The windows of a document are one array, so that exploding it copies no document once for each.
+    """
+    cut = lambda c, i: F.slice(F.col(c), i + 1, F.lit(width))
+    every = F.transform(starts(F.size("plain"), width, 1), lambda i: F.struct(i.alias("place"), F.xxhash64(cut("plain", i)).alias("h"), cut("words", i).alias("cut")))
+    return df.select("id", F.explode(every).alias("w")).select("id", "w.place", F.lit(width).alias("width"), "w.h", "w.cut")
 
 
 def _templates(df: DataFrame) -> DataFrame:
@@ -127,8 +130,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     for w in sorted(widths):
         part = _windows(found, w)
         every = part if every is None else every.unionByName(part)
-    pairs = every.select("id", F.col("place").alias("at"), "h", "width", F.col("slots").alias("theirs")).join(small(index.select(F.col("id").alias("item"), "place", "h", "width", "slots")), ["h", "width"])
-    zipped = F.zip_with("slots", "theirs", lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = every.select("id", F.col("place").alias("at"), "h", "width", F.col("cut").alias("theirs")).join(small(index.select(F.col("id").alias("item"), "place", "h", "width", F.col("cut").alias("ours"))), ["h", "width"])
+    zipped = F.zip_with(values(F.col("ours")), values(F.col("theirs")), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
     once = pairs.groupBy("id", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(zipped))).alias("z"))
     a, b = F.array_distinct(F.transform("z", lambda x: x["a"])), F.array_distinct(F.transform("z", lambda x: x["b"]))
     once = once.where((F.size(a) == F.size("z")) & (F.size(b) == F.size("z")))
