@@ -14,10 +14,11 @@ that time.  (Ertl, "BagMinHash", KDD 2018.)
    buckets are largest is the hub; all others are candidates with it only.
 3. Candidate pairs are verified on the whole texts: multiset overlap of at least 0.8.
    Hub and members are dealt by (hub, salt) and streamed, one hub in memory at a time.
-4. Links give components.  Pairs of a bucket that are still in different components are
-   candidates too, unless their distances to the hub differ by more than 0.2 (weighted
-   Jaccard distance is a metric, so these can't be similar) or their signatures agree too
-   rarely; they are verified as well, and the components are taken again.
+4. Links give components.  Members of buckets that still hold several components are
+   joined once more, exactly: two multisets of this similarity share one of their rarest
+   elements (prefix filter), so copies of one passage in otherwise different texts never
+   meet.  Pairs of different components that do are verified as well, and the components
+   are taken again.
 
 So a group of n copies costs about n candidates, not n squared, and links between
 different texts are only lost where no band agrees (0.003 % at a similarity of 0.8).
@@ -44,8 +45,8 @@ from sparkloom.plans.shared import written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Equal places of two signatures, of BANDS * ROWS, below which a pair isn't verified: 4.4 standard deviations under the mean at 0.8.
-LEAST_EQUAL = 48
+#: Counters of the sketch by which elements are ordered from rare to frequent (4 MB), in so many pieces.
+COUNTERS, PIECES = 1 << 20, 64
 #: Parts into which a hub's members are dealt.
 HUB_SALTS = 64
 #: Ids up to which a candidate list is broadcast to pick its texts, by count.
@@ -113,8 +114,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row with an id and a word: id, two hashes of all its words, band keys, and the signature's places in 32 bits each."""
+def sketch(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Per row with an id and a word: id, two hashes of all its words, band keys."""
 
     def make(ids, texts, s):
         some = np.flatnonzero(s.n_words > 0)
@@ -127,12 +128,11 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             c = textkit.prefix(h)
             whole.append(mix(c[s.word_off[1:]] - c[s.word_off[:-1]] + s.n_words.astype(np.uint64))[some].view(np.int64))
         keys = bands(sig).view(np.int64)
-        places = (mix(sig.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-        return {"id": ids.take(pa.array(some)), "w1": whole[0], "w2": whole[1], "keys": lists, "places": pa.array([p.tobytes() for p in places], pa.binary())}
+        return {"id": ids.take(pa.array(some)), "w1": whole[0], "w2": whole[1], "keys": lists}
 
     rows = docs.where(F.col(id_col).isNotNull())
-    return map_text(rows, id_col, text_col, make, "id long, w1 long, w2 long, keys array<long>, places binary")
+    return map_text(rows, id_col, text_col, make, "id long, w1 long, w2 long, keys array<long>")
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -143,11 +143,6 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return least / total if total else 0.0
 
 
-def _texts(docs: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
-    """(id, text) of the ids; a list within the bound is broadcast, so that no text is shuffled to find them."""
-    return docs.join(F.broadcast(ids) if few else ids, "id")
-
-
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, sim) of candidate pairs, on whole texts.  docs: (id, text)."""
     pairs = written(pairs.select("a", "b"), "pairs")
@@ -182,18 +177,78 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(streamed.groupBy("a", "b").agg(F.max("sim").alias("sim")), "sims")
 
 
-def _equal_places(a: str, b: str):
-    """Equal 32-bit places of two signatures."""
-    n = BANDS * ROWS
-    part = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(F.col(c), k * 4 + 1, F.lit(4)))
-    return F.size(F.filter(F.zip_with(part(a), part(b), lambda x, y: x == y), lambda x: x))
+def elements(s: textkit.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each element of the multisets, a shingle's nth occurrence being an element of its own."""
+    doc, x, w = multisets(s)
+    nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    return np.repeat(doc, w), mix(np.repeat(x, w) + nth.astype(np.uint64) * _A)
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """Counters of all elements by their low bits: summed in pieces, so that what meets in a task and on the driver has a fixed size."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for _, _, s in textkit.slices(b.column(0)):
+                total += np.bincount((elements(s)[1] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in total.reshape(PIECES, -1)], pa.binary())], names=["piece", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                n = COUNTERS // PIECES
+                got = np.frombuffer(pa.decompress(r["counts"], decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+                sums[r["piece"]] = sums.get(r["piece"], 0) + got
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], names=["piece", "counts"])
+
+    out = np.zeros((PIECES, COUNTERS // PIECES), np.int64)
+    summed = texts.select("text").mapInArrow(count, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary")
+    for r in summed.collect():  # PIECES rows
+        out[r.piece] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
+
+
+def crossing(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) pairs of different components c that share an element of their prefixes; texts: (id, c, text).
+
+    Elements are ordered by the sketch's counts, then by hash: the same order for all texts, so
+    the filter is exact.  Of each element's members only those outside its most frequent
+    component look for partners.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(frequencies(texts))
+
+    def prefixes(batches):
+        rank = counts.value
+        for b in batches:
+            for i, j, s in textkit.slices(b.column(2)):
+                doc, x = elements(s)
+                order = np.lexsort((x, rank[(x & np.uint64(COUNTERS - 1)).astype(np.int64)], doc))
+                doc, x = doc[order], x[order]
+                n = np.bincount(doc, minlength=s.n_docs)
+                keep = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                at = place < keep[doc]
+                d = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), b.column(0).slice(i, j - i).take(d), b.column(1).slice(i, j - i).take(d), pa.array(n[doc[at]])], names=["x", "id", "c", "n"])
+
+    rows = written(texts.select("id", "c", "text").mapInArrow(prefixes, "x long, id long, c long, n long"), "prefixes")
+    by = rows.groupBy("x", "c").agg(F.count("*").alias("m"))
+    mixed = by.groupBy("x").agg(F.max_by("c", "m").alias("main"), F.count("*").alias("k")).where("k > 1").select("x", "main")
+    mixed = written(rows.join(mixed, "x"), "mixed")
+    a = mixed.where("c <> main").select("x", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"))
+    b = mixed.select("x", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"))
+    met = a.join(b, "x").where((F.col("pc") != F.col("qc")) & (F.least("pn", "qn") >= similarity * F.greatest("pn", "qn") - 1e-9))
+    return met.groupBy(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).agg(F.count("*").alias("m"))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: id, class_id (the smallest id of the near-duplicates it is linked with, over any number of links), is_kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     some = rows.where(F.col("id").isNotNull())
-    made = written(sketch(some, id_col="id", text_col="text"), "sketches")
+    made = written(sketch(some), "sketches")
     copies = made.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     # Only classes of several copies need a join; the smallest id of each goes on.
     several = made.select("id", "w1", "w2").join(copies.where("n > 1"), ["w1", "w2"]).select("id", "rep").where("id <> rep").distinct()
@@ -212,21 +267,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     links = sims.where(F.col("sim") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     parts = written(connected_components(links), "parts")
 
-    # What is left: pairs of a bucket in different components, within reach of each other by their distances to the hub.
-    far = member.join(sims.select(F.col("a").alias("id"), F.col("b").alias("hub"), "sim"), ["id", "hub"], "left").join(parts, "id", "left")
-    far = far.select("key", "id", "hub", F.when(F.col("id") == F.col("hub"), 0.0).otherwise(1 - F.coalesce("sim", F.lit(0.0))).alias("d"), F.coalesce("component", "id").alias("c"))
-    mixed = far.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("d").alias("dmax")).where("c0 <> c1")
-    # A member near the hub only matters if the bucket has one that is farther away by at most the radius.
-    radius = 1 - similarity + 1e-9
-    open_ = written(far.join(mixed, "key").where((F.col("id") != F.col("hub")) & (F.col("dmax") > radius)).select("key", "id", "d", "c"), "open")
-    left = open_.where(F.col("d") > radius).select("key", F.col("id").alias("a"), F.col("d").alias("da"), F.col("c").alias("ca"))
-    left = left.withColumn("near", F.explode(F.sequence(F.greatest(F.floor((F.col("da") - radius) * 10), F.lit(0)), F.floor((F.col("da") + radius) * 10))))
-    right = open_.select("key", F.col("id").alias("b"), F.col("d").alias("db"), F.col("c").alias("cb"), F.floor(F.col("d") * 10).alias("near"))
-    pairs = left.join(right, ["key", "near"]).where((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= radius) & ((F.col("db") <= radius) | (F.col("a") > F.col("b"))))
-    pairs = written(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "crossing")
-    places = reps.select("id", "places")
-    likely = pairs.join(places.select(F.col("id").alias("a"), F.col("places").alias("pa")), "a").join(places.select(F.col("id").alias("b"), F.col("places").alias("pb")), "b").where(_equal_places("pa", "pb") >= LEAST_EQUAL)
-    more = verify(some, likely).where(F.col("sim") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # What is left: members of buckets with several components.
+    own = member.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = own.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    left = written(own.join(mixed, "key", "left_semi").select("id", "c").distinct(), "open")
+    texts = some.join(F.broadcast(left) if left.count() <= MAX_BROADCAST_IDS else left, "id").select("id", "c", "text")
+    more = verify(some, crossing(written(texts, "texts"), similarity)).where(F.col("sim") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     every = parts.where("id <> component").select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more).unionByName(several.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
     found = connected_components(every)
