@@ -1,0 +1 @@
+"""Streaming: the engine is a batch engine; nothing here needs event time, so there is no streaming operator."""
