@@ -54,5 +54,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def partitions(spark: SparkSession, size: int, each: int) -> int:
-    """Partitions of about ``each`` bytes, and no fewer than the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // each + 1))
+    """Partitions of about ``each`` bytes, and no fewer than the session's shuffle partitions.
+
+    Spark gives a plan of unknown size (rows made in the program) an absurd one; those get the session's number.
+    """
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(1 << 20, size // each + 1)) if size < 1 << 55 else least
