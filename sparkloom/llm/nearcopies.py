@@ -232,15 +232,17 @@ def crossing(texts: DataFrame, similarity: float) -> DataFrame:
                 place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
                 at = place < keep[doc]
                 d = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), b.column(0).slice(i, j - i).take(d), b.column(1).slice(i, j - i).take(d), pa.array(n[doc[at]])], names=["x", "id", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), b.column(0).slice(i, j - i).take(d), b.column(1).slice(i, j - i).take(d), pa.array(n[doc[at]]), pa.array(place[at])], names=["x", "id", "c", "n", "i"])
 
-    rows = written(texts.select("id", "c", "text").mapInArrow(prefixes, "x long, id long, c long, n long"), "prefixes")
+    rows = written(texts.select("id", "c", "text").mapInArrow(prefixes, "x long, id long, c long, n long, i long"), "prefixes")
     by = rows.groupBy("x", "c").agg(F.count("*").alias("m"))
     mixed = by.groupBy("x").agg(F.max_by("c", "m").alias("main"), F.count("*").alias("k")).where("k > 1").select("x", "main")
     mixed = written(rows.join(mixed, "x"), "mixed")
-    a = mixed.where("c <> main").select("x", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"))
-    b = mixed.select("x", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"))
-    met = a.join(b, "x").where((F.col("pc") != F.col("qc")) & (F.least("pn", "qn") >= similarity * F.greatest("pn", "qn") - 1e-9))
+    a = mixed.where("c <> main").select("x", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("i").alias("pi"))
+    b = mixed.select("x", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("i").alias("qi"))
+    # At their first common element two similar multisets still have their whole overlap before them.
+    enough = F.least(F.col("pn") - F.col("pi"), F.col("qn") - F.col("qi")) >= similarity / (1 + similarity) * (F.col("pn") + F.col("qn")) - 1e-6
+    met = a.join(b, "x").where((F.col("pc") != F.col("qc")) & enough)
     return met.groupBy(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).agg(F.count("*").alias("m"))
 
 
