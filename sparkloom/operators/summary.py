@@ -46,7 +46,7 @@ def dir_tree(df: DataFrame, path: str = "path", most: int = 3) -> DataFrame:
 def size_stats(df: DataFrame, small: int = 224) -> DataFrame:
     """min, median, mean and max of width, height and aspect, and rows with a small side."""
     out = []
-    for c, x in (("width", F.col("width")), ("height", F.col("height")), ("aspect", F.col("width") / F.col("height"))):
+    for c, x in (("width", F.col("width")), ("height", F.col("height")), ("aspect", F.col("width") / F.nullif(F.col("height"), F.lit(0)))):
         out += [F.min(x).alias(f"{c}_min"), F.median(x).alias(f"{c}_median"), F.avg(x).alias(f"{c}_mean"), F.max(x).alias(f"{c}_max")]
     return df.agg(*out, F.count_if(F.least("width", "height") < small).alias("n_small"))
 
