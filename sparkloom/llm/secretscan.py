@@ -56,8 +56,8 @@ def _table(chars: bytes) -> np.ndarray:
 
 _DIGITS, _UP, _LOW = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _HEX_BYTES, _B64_BYTES = _table(_DIGITS + b"abcdef"), _table(_DIGITS + _UP + _LOW + b"+/_-")
-#: What every base match holds, in lower case.
-_MARKS = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"akia")
+#: What every base match and signed token holds, in lower case (hex and base64 runs are found by length).
+_MARKS = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"akia", b"eyj")
 
 
 def tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:

@@ -268,7 +268,7 @@ def der(*parts):
 
 
 def test_secrets(spark):
-    part = lambda tag, b: bytes([tag]) + (bytes([len(b)]) if len(b) < 128 else b"\x82" + len(b).to_bytes(2, "big")) + b
+    part = lambda tag, b: bytes([tag]) + (bytes([len(b)]) if len(b) < 128 else b"\x81" + bytes([len(b)])) + b
     key = der(part(2, b"\0"), *[part(2, bytes([k]) * 140) for k in range(1, 9)])
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(key).decode())) + "\n-----END RSA PRIVATE KEY-----"
     enc = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).rstrip(b"=").decode()
