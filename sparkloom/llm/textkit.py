@@ -12,13 +12,14 @@ text, or one document where that is longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240117)
 _TABLES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,6 +150,16 @@ def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
         yield i, j, Slice(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         i = j
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def repeated(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
