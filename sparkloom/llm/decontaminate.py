@@ -5,16 +5,16 @@ units of measure turn into typed placeholders, the rest into lower-case words.
 question with other numbers or names has the same template.
 
 1. Every window of a benchmark item's template is hashed.  Documents are probed with
-   windows at every fourth word, of which a copied stretch of eleven words holds one
-   whole; a hash join gives the documents that can hold an item.
+   windows at every word, as an item may be held in fragments of one window each; a hash
+   join gives the documents that can hold an item.
 2. Of these documents all windows are matched.  Matches on one diagonal (place in the
    document less place in the item) are one occurrence; it counts if its slots are
    consistent: equal values of the item stand for equal values of the document and
    different for different.
 3. A document holds an item if consistent occurrences match at least 0.6 of its windows.
 
-Items of 8 to 10 words are probed with windows of five words, shorter ones (three at
-least) as a whole, at every word.
+Items of 8 to 10 words have windows of five words, shorter ones (three at least) are one
+window as a whole.
 
 Only DataFrame operations; no Python runs on executors.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.shared import written
 
-WINDOW, STRIDE, LEAST_SHARE = 8, 4, 0.6
+WINDOW, LONG_WORDS, LEAST_SHARE = 8, 11, 0.6
 SHORT_WINDOW, LEAST_WORDS = 5, 3
 #: Benchmark windows, and candidate documents, up to which a list is broadcast, by count.
 MAX_BROADCAST_WINDOWS, MAX_BROADCAST_IDS = 1_000_000, 200_000
@@ -84,7 +84,7 @@ def hashes(words: str, width: int, stride: int) -> Column:
 def classes() -> list[tuple[int, int, int, int]]:
     """Window width and probing stride for items of so many words at least and at most."""
     whole = [(n, 1, n, n) for n in range(LEAST_WORDS, WINDOW)]
-    return [(WINDOW, STRIDE, WINDOW + STRIDE - 1, 1 << 30), (SHORT_WINDOW, STRIDE, WINDOW, WINDOW + STRIDE - 2), *whole]
+    return [(WINDOW, 1, LONG_WORDS, 1 << 30), (SHORT_WINDOW, 1, WINDOW, LONG_WORDS - 1), *whole]
 
 
 def _windows(df: DataFrame, width: int) -> DataFrame:
@@ -120,7 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         return rows.where(F.lit(False)).select(F.col("id").alias(id_col), none.cast("long").alias(item_col), none.cast("long").alias("n_matched"), none.cast("long").alias("n_windows"), none.cast("double").alias("share"), none.cast("long").alias("n_slots"), none.cast("boolean").alias("reparameterised"))
 
     plain = rows.select("id", tokens(F.col("text")).alias("plain"))
-    strides = {c[0]: max(s for w, s, _, _ in used if w == c[0]) if all(s == STRIDE for w, s, _, _ in used if w == c[0]) else 1 for c in used}
+    strides = {c[0]: c[1] for c in used}
     probes = plain.select("id", F.explode(F.array_distinct(F.concat(*[hashes("plain", w, s) for w, s in sorted(strides.items())]))).alias("h"))
     hit = written(probes.join(small(index.select("h").distinct()), "h", "left_semi").select("id").distinct(), "suspects")
 

@@ -77,6 +77,24 @@ def test_decontamination(spark):
     assert len(set(decontaminate.clean(frame(spark, docs), bench).columns)) == len(frame(spark, docs).columns)
 
 
+def test_decontamination_probes_every_word(spark):
+    """Items held by few windows in a row, at all offsets: edge words changed (0.75, 0.6), and a longer item as two fragments of ten words."""
+    items = {n: [f"i{chr(97 + n)}{chr(97 + k)}" for k in range(n)] for n in (11, 12, 14)}
+    fill = lambda k: [f"f{chr(97 + j)}" for j in range(k)]
+    docs, want = [], {}
+    for k in range(4):
+        held = [items[11][:10], items[11][1:], items[12][1:11], items[12][:10], items[12][2:], items[14][:10] + fill(2 + (-k) % 4) + items[14][4:]]
+        for part, (item, share) in zip(held, ((11, 0.75), (11, 0.75), (12, 0.6), (12, 0.6), (12, 0.6), (14, 6 / 7)), strict=True):
+            want[len(docs), item] = round(share, 6)
+            docs.append((len(docs), " ".join(["z"] * k + part + ["q"] * 9)))
+    docs.append((len(docs), " ".join(items[12][:9] + ["q"] * 9)))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["share"], 6) for r in rows(decontaminate.leaks(frame(spark, docs), bench))}
+    assert {k for k in want if k not in got} == set()
+    assert set(got) == set(want)
+    assert [r["doc_id"] for r in rows(decontaminate.clean(frame(spark, docs), bench))] == [len(docs) - 1]
+
+
 # ---------------------------------------------------------------- 2 urls
 
 
