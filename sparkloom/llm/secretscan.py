@@ -40,6 +40,9 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_.-]*)")
 #: A base64 run, over lines where a wrapped block goes on; a hex run of bytes.
 B64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: Where in a run a key can start and end: at lines and PEM marks.  The first characters are those of a DER sequence, an SSH key type's length, or the SSH magic.
+KEY_START = re.compile(r"(?:\A|(?<=\n)|(?<=-----))(?=[A-Za-z0-9+/_-]{32})(?=M[A-P]|AAAA|b3BlbnNza)")
+KEY_END = re.compile(r"(?=\r?\n)|(?=-----)|(?==*\Z)")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 MIN_RUN = 32
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -130,6 +133,57 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def ssh_ends(data: bytes) -> list[int]:
+    """Where an SSH key of two parts at least can end in bytes that start with one, by its lengths."""
+    at, ends, parts = (len(SSH_MAGIC) if data.startswith(SSH_MAGIC) else 0), [], 0
+    count = 0 if at else 1 << 62
+    while at + 4 <= len(data):
+        if at and count == 0 and parts == 3:  # cipher, its derivation and options; then a number of public keys, these, and the private part
+            count, at = int.from_bytes(data[at : at + 4], "big") + 4, at + 4
+            continue
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        parts += 1
+        if at <= len(data) and (parts == count or (count == 1 << 62 and parts >= 2)):
+            ends.append(at)
+        if parts == count:
+            break
+    return ends
+
+
+def key_spans(run: str) -> list[tuple[int, int, str]]:
+    """Keys in a base64 run, which may hold lines before and after them; their own lengths name the end among the run's lines and marks."""
+    found, raw, ends, last = [], "", {}, 0
+    for m in KEY_START.finditer(run):
+        if m.start() < last:
+            continue
+        if not raw:
+            raw, breaks = re.sub(r"[\r\n=]", "", run), np.array([k for k, c in enumerate(run) if c in "\r\n"], np.int64)
+            place = lambda p: p - int(np.searchsorted(breaks, p))
+            for e in KEY_END.finditer(run):
+                ends.setdefault(place(e.start()), e.start())
+            ends[len(raw)] = len(run)  # with the padding
+        a = place(m.start())
+        head = unbase64(raw[a : a + 32])
+        kind, z = None, None
+        if head[0] == 0x30:
+            top = tlv(head, 0, 1 << 62)
+            z = a - (-4 * top[2] // 3) if top else None
+            kind = "der" if z in ends and is_der_key(unbase64(raw[a:z])) else None
+        elif head.startswith(SSH_MAGIC) or head[4 : 4 + int.from_bytes(head[:4], "big")] in SSH_TYPES:
+            rest = raw[a:]
+            data = unbase64(rest[: len(rest) - (len(rest) % 4 == 1)])
+            z = next((x for n in reversed(ssh_ends(data)) if (x := a - (-4 * n // 3)) in ends), None)
+            if z is None and head.startswith(SSH_MAGIC):  # a cut key: up to the first mark
+                stop = run.find("-----", m.start())
+                z = max((x for x, p in ends.items() if x > a and (x - a) % 4 != 1 and (stop < 0 or p <= stop)), default=None)
+            if z is not None and is_ssh_key(unbase64(raw[a:z])):
+                kind = "ssh"
+        if kind:
+            last = ends[z]
+            found.append((m.start(), last, kind))
+    return found
+
+
 def is_signed_token(m: re.Match) -> bool:
     try:
         head = json.loads(unbase64(m[1]) or b"")
@@ -148,15 +202,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m)]
-    for pattern, decode in ((B64, unbase64), (HEX_ANY, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            # A wrapped block may be followed by lines of prose that look like base64: whole, then its first line.
-            for part in dict.fromkeys((m[0], m[0].split("\n", 1)[0].rstrip("\r"))):
-                data = decode(part)
-                kind = data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None)
-                if kind:
-                    found.append((m.start(), m.start() + len(part), kind))
-                    break
+    for m in B64.finditer(text):
+        found += [(m.start() + a, m.start() + z, kind) for a, z, kind in key_spans(m[0])]
+    for m in HEX_ANY.finditer(text):
+        data = bytes.fromhex(m[0])
+        if kind := "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None:
+            found.append((m.start(), m.end(), kind))
     return found
 
 

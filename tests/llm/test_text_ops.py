@@ -317,6 +317,30 @@ def test_secrets(spark):
     assert secretscan.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_keys():
+    """Blocks of every remainder mod 3 (padded or not), between marks, lines of word characters and other keys."""
+    part = lambda tag, b: bytes([tag]) + (bytes([len(b)]) if len(b) < 128 else b"\x81" + bytes([len(b)])) + b
+    string = lambda *parts: b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+    pkcs8 = lambda n: der(b"\x02\x01\x00", b"\x30\x05\x06\x03\x2a\x03\x04", part(4, bytes(range(n))))
+    magic = lambda n: secretscan.SSH_MAGIC + string(b"none", b"none", b"") + (1).to_bytes(4, "big") + string(b"p" * 51, b"k" * n)
+    lines = lambda b, eol="\n", width=64: eol.join(re.findall(f".{{1,{width}}}", b64(b)))
+    b64 = lambda b: base64.b64encode(b).decode()
+    keys = [("der", pkcs8(n)) for n in range(90, 108)] + [("ssh", magic(n)) for n in range(150, 153)] + [("ssh", string(b"ssh-rsa", b"\1\0\1", b"m" * n)) for n in range(130, 133)]
+    assert {len(k) % 3 for _, k in keys} == {0, 1, 2}
+    for kind, key in keys:
+        for eol in ("\n", "\r\n"):
+            body = lines(key, eol)
+            for before, after in (("-----BEGIN PRIVATE KEY-----" + eol, eol + "-----END PRIVATE KEY-----"), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"), ("", eol + "word" + eol + "words"), ("x" * 40 + eol, eol + "-" * 40 + eol + "y"), ("", "")):
+                text = f"see {before}{body}{after} end"
+                at = 4 + len(before)
+                assert secretscan.confirmed_spans(text) == [(at, at + len(body), kind)], (kind, len(key), before, after)
+    two = [b64(k) for _, k in keys[:18] if len(k) % 3 == 0][:2]
+    assert [len(x) % 4 for x in two] == [0, 0] and "=" not in "".join(two)
+    assert secretscan.confirmed_spans("\n".join(two)) == [(0, len(two[0]), "der"), (len(two[0]) + 1, len(two[0]) + 1 + len(two[1]), "der")]
+    assert secretscan.confirmed_spans(lines(pkcs8(92)[:-1]) + "\nword") == []
+    assert secretscan.confirmed_spans("M" * 40 + "\n" + "AAAA" * 30 + "\n" + "-" * 60) == []
+
+
 def test_der_lengths():
     good = der(b"\x02\x01\x00", b"\x30\x05\x06\x03\x2a\x03\x04", b"\x04\x10" + b"k" * 16)
     assert secretscan.is_der_key(good)
