@@ -5,9 +5,9 @@ words padded with a boundary), most frequent first.  A document is compared to e
 language by out-of-place distance: for each n-gram of the document's profile the
 difference of its two ranks, or the profile length if the language lacks it.
 
-Letters are folded to lower case and to 48 classes (boundary, a-z, and 21 for all
-other letters, by a rule of the code point), so an n-gram is a small number and a
-document's counts are one ``bincount``.
+Letters are folded to lower case only.  An n-gram is one number made of its code
+points; within a slice its letters are numbered anew, so that documents and n-grams
+sort as one array.
 
 Profiles are learned from at most ``max_rows`` documents (``MAX_ROWS``), those first by
 a hash of the id; every whole text is judged.
@@ -33,21 +33,22 @@ from sparkloom.llm.textkit import CONTINUES, Slice
 
 #: Documents to learn from at most; n-grams of a profile.
 MAX_ROWS, PROFILE = 8_000, 400
-CLASSES = 48
-_BI, _TRI = CLASSES, CLASSES + CLASSES**2
-GRAMS = CLASSES + CLASSES**2 + CLASSES**3
+#: Letters are below it: 1 to 26 for a-z, others by their code point.
+CLASSES = 1 << 21
+#: Known n-grams up to which a document's order is sorted as one number.
+MAX_TIES = 1 << 17
 UNKNOWN = "und"
 
 
 @functools.cache
 def letter_classes() -> np.ndarray:
-    """The class of each code point: 0 for what is no letter."""
-    t = np.zeros(0x110000, np.uint8)
+    """The letter of each code point: 0 for what is none."""
+    t = np.zeros(0x110000, np.int32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
             low = ord(c.lower()[0])
-            t[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % 21
+            t[cp] = low - 96 if 97 <= low <= 122 else low
     return t
 
 
@@ -62,6 +63,15 @@ def code_points(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(cp, 0x10FFFF), np.searchsorted(at, s.off)
 
 
+def gram_numbers(g: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """n-grams of a slice's letters (places in ``letters``) as numbers of any slice, in the same order."""
+    k = len(letters)
+    bi, tri = k, k + k**2
+    h = np.where(g >= tri, g - tri, np.where(g >= bi, g - bi, g))
+    a, b, c = letters[h // k**2], letters[h // k % k], letters[h % k]
+    return np.where(g >= tri, ((a + 1) * CLASSES + b) * CLASSES + c, np.where(g >= bi, (b + 1) * CLASSES + c, c))
+
+
 def gram_counts(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The slice's documents (places), their n-grams, and how often each occurs; by document."""
     cp, off = code_points(s)
@@ -73,36 +83,59 @@ def gram_counts(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = c != 0
     one, two, three = np.flatnonzero(letter), np.flatnonzero(letter[:-1] | letter[1:]), np.flatnonzero(letter[1:-1])
     two_doc = np.where(letter[two], doc[two], doc[two + 1]) if len(two) else two
-    keys = np.concatenate([doc[one] * GRAMS + c[one], two_doc * GRAMS + _BI + c[two] * CLASSES + c[two + 1], doc[three + 1] * GRAMS + _TRI + (c[three] * CLASSES + c[three + 1]) * CLASSES + c[three + 2]])
-    keys.sort()
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first] // GRAMS, keys[first] % GRAMS, np.diff(np.append(first, len(keys)))
+    seen, number = np.zeros(0x110000, bool), np.zeros(0x110000, np.int64)
+    seen[0] = True
+    seen[c] = True
+    letters = np.flatnonzero(seen)
+    number[letters] = np.arange(len(letters))
+    c = number[c]
+    k = len(letters)
+    grams = k + k**2 + k**3
+    docs = np.concatenate([doc[one], two_doc, doc[three + 1]])
+    keys = np.concatenate([c[one], k + c[two] * k + c[two + 1], k + k**2 + (c[three] * k + c[three + 1]) * k + c[three + 2]])
+    if grams * max(s.n_docs, 1) < 1 << 63:
+        keys += docs * grams
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        docs, found = keys[first] // grams, keys[first] % grams
+    else:  # very many letters and documents in one slice
+        order = np.lexsort((keys, docs))
+        docs, keys = docs[order], keys[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])))
+        docs, found = docs[first], keys[first]
+    return docs, gram_numbers(found, letters), np.diff(np.append(first, len(keys)))
 
 
 class Profiles:
-    """Languages, each one's rank of every n-gram (the profile length if it lacks it), and the n-grams' overall order for ties."""
+    """Languages, each one's rank of every known n-gram (the profile length if it lacks it), and the n-grams' overall order for ties."""
 
     def __init__(self, rows: list[tuple[str, int, int]], length: int = PROFILE):
         self.length = length
         self.langs = sorted({r[0] for r in rows})
-        self.ranks = np.full((len(self.langs), GRAMS), length, np.int32)
-        total = np.zeros(GRAMS, np.int64)
+        own = {x: sorted(((n, -g) for y, g, n in rows if y == x), reverse=True)[:length] for x in self.langs}
+        total: dict[int, int] = {}
+        for n, g in (t for x in self.langs for t in own[x]):
+            total[-g] = total.get(-g, 0) + n
+        self.known = np.array(sorted(total), np.int64)
+        # The last place is that of all other n-grams.
+        self.ranks = np.full((len(self.langs), len(total) + 1), length, np.int32)
         for k, lang in enumerate(self.langs):
-            own = sorted(((n, -g) for x, g, n in rows if x == lang), reverse=True)[:length]
-            self.ranks[k, [-g for _, g in own]] = np.arange(len(own))
-            for n, g in own:
-                total[-g] += n
-        self.tie = np.empty(GRAMS, np.int64)
-        self.tie[np.lexsort((np.arange(GRAMS), -total))] = np.arange(GRAMS)
+            self.ranks[k, np.searchsorted(self.known, [-g for _, g in own[lang]])] = np.arange(len(own[lang]))
+        self.tie = np.arange(len(total) + 1)
+        self.tie[np.lexsort((self.known, [-total[int(g)] for g in self.known]))] = np.arange(len(total))
 
     def nearest(self, n_docs: int, doc: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each document the closest language (-1 without n-grams), and 1 less its share of the largest possible distance."""
         lang, score = np.full(n_docs, -1), np.zeros(n_docs)
         if not len(doc) or not self.langs:
             return lang, score
-        # Most frequent first within a document: 24 bits of count, then the order for ties.
-        key = (doc << 41) | ((1 << 24) - 1 - np.minimum(n, (1 << 24) - 1)) << 17 | self.tie[gram]
-        order = np.argsort(key)
+        at = np.searchsorted(self.known, gram)
+        gram = np.where(self.known[np.minimum(at, len(self.known) - 1)] == gram, at, len(self.known))
+        # Most frequent first within a document: 24 bits of count, then the order for ties; other n-grams stay by number.
+        if len(self.known) < MAX_TIES:
+            order = np.argsort((doc << 41) | ((1 << 24) - 1 - np.minimum(n, (1 << 24) - 1)) << 17 | self.tie[gram], kind="stable")
+        else:
+            order = np.lexsort((self.tie[gram], -n, doc))
         doc, gram = doc[order], gram[order]
         start = np.searchsorted(doc, np.arange(n_docs + 1))
         place = np.arange(len(doc)) - start[doc]
@@ -129,12 +162,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         names = sorted(set(langs.to_pylist()))
         own = np.array([names.index(x) for x in langs.to_pylist()])
         doc, gram, n = gram_counts(s)
-        total = np.zeros((len(names), GRAMS), np.int64)
-        np.add.at(total, (own[doc], gram), n)
+        grams, gram = np.unique(gram, return_inverse=True)
+        total = np.zeros((len(names), len(grams)), np.int64)
+        if len(doc):
+            np.add.at(total, (own[doc], gram), n)
         which, at = total.nonzero()
-        return {"lang": pa.array([names[k] for k in which], pa.string()), "gram": at.astype(np.int32), "n": total[which, at]}
+        return {"lang": pa.array([names[k] for k in which], pa.string()), "gram": grams[at], "n": total[which, at]}
 
-    counted = map_text(rows.join(F.broadcast(sample), "__id", "left_semi"), "__id", "__text", make, "lang string, gram int, n long", "__lang").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_text(rows.join(F.broadcast(sample), "__id", "left_semi"), "__id", "__text", make, "lang string, gram long, n long", "__lang").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("place", place).where(F.col("place") <= length)
     return Profiles([(r.lang, r.gram, r.n) for r in top.collect()], length)

@@ -515,6 +515,27 @@ def test_out_of_place_by_hand():
     assert [p.langs[k] for k in lang] == ["x", "y"] and score.tolist() == [1.0, 1.0]
 
 
+def test_grams_keep_letters_apart():
+    """Brute-force n-grams of real letters, and two alphabets of letters that were once one class."""
+    texts = ["aä û Äa", "ч а я", "漢字 かな", "", None, "1 2", "öß öß oe", "𐐨a"]
+    want = []
+    for d, t in enumerate(texts):
+        c = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            x = f" {w} "
+            c.update([*w, *(x[k : k + 2] for k in range(len(x) - 1)), *(x[k : k + 3] for k in range(len(x) - 2))])
+        want.append(sorted(c.values()))
+    doc, gram, n = langid.gram_counts(next(textkit.slices(pa.array(texts)))[2])
+    assert [sorted(n[doc == d].tolist()) for d in range(len(texts))] == want
+    alone = [langid.gram_counts(next(textkit.slices(pa.array([t], pa.string())))[2]) for t in texts]
+    assert all(gram[doc == d].tolist() == g.tolist() == sorted(set(g.tolist())) for d, (_, g, _) in enumerate(alone))
+    of = lambda t: set(langid.gram_counts(next(textkit.slices(pa.array([t], pa.string())))[2])[1].tolist())
+    assert all(not of(a) & of(b) for a, b in ("äû", "öß", "íœ", "áë", "ач", "ия", "зе"))
+    p = langid.Profiles([(x, g, 1) for x, t in (("x", "äää"), ("y", "ûûû")) for g in of(t)], 10)
+    lang, _ = p.nearest(2, *langid.gram_counts(next(textkit.slices(pa.array(["ää", "ûû"])))[2]))
+    assert [p.langs[k] for k in lang] == ["x", "y"]
+
+
 def test_map_text_keeps_rows(spark):
     out = arrowmap.map_text(frame(spark, ODD), "doc_id", "text", lambda ids, texts, s: {"doc_id": ids, "n": s.n_words.astype(np.int64)}, "doc_id long, n long")
     assert sorted(str((r["doc_id"], r["n"])) for r in rows(out)) == sorted(str((d, len(WORD.findall(t or "")))) for d, t in ODD)
