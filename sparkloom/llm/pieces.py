@@ -4,25 +4,25 @@ The model protobuf is read here (pieces, scores, types, normaliser, flags) and
 rebuilt as a ``tokenizers`` BPE or Unigram model: precompiled character map, dummy
 prefix, space marker, byte fallback; BPE merges follow from the scores.
 
-No piece of the usual models holds the marker after its first letters, nor a
-character that only byte fallback can write, so a text falls into segments at these
-places without changing any token.  Each worker encodes a segment once (multithreaded,
-in batches), holds it against the sentencepiece library, and keeps at most
-``CACHE`` of them.  If a segment differs, the library's ids are taken and the
-documents with it say ``parity`` false.  Models with other pieces are encoded whole.
+The ids of a text are those of the tokenizers library, which encodes whole batches on
+``THREADS`` threads, and its decoder writes them back.  ``encode`` holds every text
+against the sentencepiece library as well: ``parity`` says whether both give the same ids.
+
+No piece of the usual models holds the marker after its first letters, so no token
+crosses a space before which there is none; texts longer than ``PART`` characters are cut
+there, and memory stays that of some parts however long a text is.  Models with other
+pieces or their own normaliser are encoded whole.  The rebuilt model is freed at a task's end.
 
 Defined cases: a null or empty text has no ids; ``round_trip`` says whether decoding
 gives the normalised text again, which is the text itself for a model with the identity
 normaliser; unknown characters without byte fallback give the unknown id and no round
-trip; null ids and repeated rows are kept.
+trip; control ids decode to nothing; null ids and repeated rows are kept.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import os
-import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -31,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.arrowmap import map_text
+from sparkloom.llm import textkit
+from sparkloom.llm.arrowmap import map_text, strings
 
 MARK = "▁"
-#: Segments that a worker keeps; threads of an encoding batch.
-CACHE, THREADS = 500_000, 2
+#: Characters of a text encoded at once; ids decoded at once; threads of an encoding batch.
+PART, DECODED, THREADS = 1 << 17, 1 << 16, 2
 # Fixed values of the model format: field numbers, piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -92,28 +93,21 @@ class Model:
         self.prefix, self.squeeze, self.escape = (bool(norm.get(k, 1)) for k in (3, 4, 5))
         self.plain = not self.charsmap and not self.squeeze and self.escape
         words = [p for p, _, t in self.pieces if t in (NORMAL, USER)]
-        joined = {c for p in words if len(p) > 1 for c in p}
-        single = {p for p in words if len(p) == 1}
-        #: Whether the marker only begins pieces, and the control characters at which a text may be cut.
-        self.cuts = None
-        if self.plain and not any(MARK in p.lstrip(MARK) for p in words):
-            self.cuts = "".join(c for c in "\n\t\r" if c not in joined and c not in single) if self.byte_fallback else ""
-
-    def segments(self) -> re.Pattern | None:
-        if self.cuts is None:
-            return None
-        c = re.escape(self.cuts)
-        return re.compile(f"{MARK}+[^{MARK}{c}]*|[{c}]|[^{MARK}{c}]+" if c else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        #: Whether the marker only begins pieces, so that a text may be cut at a space.
+        self.cuts = self.plain and not any(MARK in p.lstrip(MARK) for p in words)
 
     def merges(self) -> list[tuple[str, str]]:
-        """All ways to join two pieces to a third, best score first."""
+        """All ways to join two pieces to a third, best score first.
+
+        Of equal scores the format takes the leftmost pair, so that a run grows from its left: longer left pieces come first.
+        """
         score = {p: s for p, s, t in self.pieces if t in (NORMAL, USER)}
         place = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-        found = [(-s, place[p[:k]], place[p[k:]], p[:k], p[k:]) for p, s in score.items() if len(p) > 1 for k in range(1, len(p)) if p[:k] in score and p[k:] in score]
-        return [(a, b) for _, _, _, a, b in sorted(found)]
+        found = [(-s, -k, place[p[:k]], place[p[k:]], p[:k], p[k:]) for p, s in score.items() if len(p) > 1 for k in range(1, len(p)) if p[:k] in score and p[k:] in score]
+        return [(a, b) for *_, a, b in sorted(found)]
 
     def tokenizer(self):
-        from tokenizers import Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         if self.kind == BPE:
             t = Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=0))
@@ -121,7 +115,7 @@ class Model:
             t = Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback))
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(__import__("tokenizers").Regex(" {2,}"), " ")]
+            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         steps += [normalizers.Prepend(" " if not self.escape else MARK)] * self.prefix
         steps += [normalizers.Replace(" ", MARK)] * self.escape
         if steps:
@@ -137,92 +131,105 @@ class Codec:
         # Before the first batch; a worker process encodes with few threads, as each core has a worker.
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        import sentencepiece
-
         self.model = Model(data)
         self.tokenizer = self.model.tokenizer()
-        self.normalizer = self.tokenizer.normalizer
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.pattern = self.model.segments()
-        if self.pattern is not None:
-            self.tokenizer.normalizer = None  # segments are normalised already
-        self.known: dict[str, bytes] = {}  # ids as int32
-        self.odd: set[str] = set()
-        self.lossy: set[str] = set()
-        self.bytes = [bytes([int(p[3:-1], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in self.model.pieces]
-
-    def normalise(self, text: str) -> str:
-        if not text:
-            return ""
-        if self.model.plain:
-            return (MARK if self.model.prefix else "") + text.replace(" ", MARK)
-        return self.normalizer.normalize_str(text)
-
-    def _learn(self, segments: list[str]) -> None:
-        """Encodes new segments, each held against the library and decoded again."""
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        theirs = self._theirs(segments)
-        if ours != theirs:
-            self.odd.update(s for s, a, b in zip(segments, ours, theirs, strict=True) if a != b)
-        flat = list(chain.from_iterable(theirs))
-        if "".join(segments).replace(MARK, " ").encode() != b"".join(map(self.bytes.__getitem__, flat)):
-            self.lossy.update(s for s, x in zip(segments, theirs, strict=True) if b"".join(map(self.bytes.__getitem__, x)) != s.replace(MARK, " ").encode())
-        ends = (4 * np.cumsum([len(x) for x in theirs])).tolist()
-        raw = np.array(flat, np.int32).tobytes()
-        self.known.update(zip(segments, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def _theirs(self, segments: list[str]) -> list[list[int]]:
-        """The library's ids: a segment's own first marker stands for the dummy prefix; others are given behind a cut."""
-        if not self.model.prefix:
-            return self.library.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
-        head = self.model.cuts[:1] if self.model.cuts else ""
-        skip = len(self.library.encode(head)) if head else 0
-        found = self.library.encode([s[1:].replace(MARK, " ") if s[0] == MARK else head + s.replace(MARK, " ") for s in segments], num_threads=1)
-        found = [x if s[0] == MARK else x[skip:] for s, x in zip(segments, found, strict=True)]
-        if MARK in segments:  # the library gives nothing for an empty text: the prefix of one that goes on with a cut
-            found[segments.index(MARK)] = self.library.encode(head)[: -len(head)] if head else [self.library.piece_to_id(MARK)]
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[pa.ListArray, list[bool], list[bool]]:
-        """Ids of each text, whether both libraries agree on all of it, and whether the ids decode to the normalised text."""
-        if self.pattern is None:
-            ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            theirs = self.library.encode(texts, num_threads=1)
-            parts = [np.array(x, np.int32).tobytes() for x in theirs]
-            return _lists(parts), [a == b for a, b in zip(ours, theirs, strict=True)], [self.decode(x) == self.decode_plain(t) for x, t in zip(theirs, texts, strict=True)]
-        cut = [self.pattern.findall(self.normalise(t)) for t in texts]
-        every = set().union(*cut) if cut else set()
-        if len(self.known) + len(every) > CACHE:
-            self.known, self.odd, self.lossy = {}, set(), set()
-        if new := [s for s in every if s not in self.known]:
-            for i in range(0, len(new), 20_000):
-                self._learn(new[i : i + 20_000])
-        parts = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        clean = lambda bad: [not bad or bad.isdisjoint(c) for c in cut]
-        return _lists(parts), clean(self.odd), clean(self.lossy)
+        self.control = frozenset(i for i, (_, _, t) in enumerate(self.model.pieces) if t == CONTROL)
+        self.marked = frozenset(i for i, (p, _, t) in enumerate(self.model.pieces) if t in (NORMAL, USER) and p.startswith(MARK))
+
+    @functools.cached_property
+    def library(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.model.data)
+
+    def parts(self, text: str) -> list[str]:
+        """A long text's parts: between two, a space is left out, which the dummy prefix stands for, or begins the second."""
+        if len(text) <= PART or not self.model.cuts:
+            return [text] if text else []
+        out, a = [], 0
+        while a < len(text):
+            z = text.find(" ", a + PART)
+            while 0 < z < len(text) and text[z - 1] in (" ", MARK):
+                z = text.find(" ", z + 1)
+            if z < 0 or z + 1 >= len(text):
+                z = len(text)
+            out.append(text[a:z])
+            a = z + self.model.prefix if z < len(text) else z
+        return out
+
+    def ids(self, parts: list[str]) -> list[list[int]]:
+        """The tokenizers library's ids."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def theirs(self, parts: list[str]) -> list[list[int]]:
+        """The sentencepiece library's ids."""
+        return self.library.encode(parts, num_threads=1)
+
+    def plain(self, part: str) -> str:
+        """What a part's ids should decode to."""
+        if not self.model.plain:
+            part = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
+            part = part[1:] if self.model.prefix and part[:1] in (MARK, " ") else part
+        return part.replace(MARK, " ")
+
+    def encode(self, texts: list[str], check: bool = True) -> tuple[pa.ListArray, list[bool], list[bool]]:
+        """Ids of each text; if asked for, whether both libraries agree on it, and whether the ids decode to the normalised text."""
+        cut = [self.parts(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        bounds = np.cumsum([0, *map(len, cut)]).tolist()
+        ids = self.ids(flat)
+        off = np.cumsum([0, *map(len, ids)])[bounds].astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(off), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(off[-1]))))
+        if not check:
+            return found, [], []
+        same = [a == b for a, b in zip(ids, self.theirs(flat), strict=True)]
+        back = [a == self.plain(p) for a, p in zip(self.decode_batch(ids), flat, strict=True)]
+        spans = list(zip(bounds, bounds[1:], strict=False))
+        return found, [all(same[a:z]) for a, z in spans], [all(back[a:z]) for a, z in spans]
+
+    def decode_batch(self, lists: list[list[int]]) -> list[str]:
+        """Texts of lists of ids, long lists cut before a piece that begins with the marker."""
+        pieces, of = [], []
+        for k, ids in enumerate(lists):
+            if not self.control.isdisjoint(ids):
+                ids = [i for i in ids if i not in self.control]
+            a = 0
+            while a < len(ids):
+                z = a + DECODED
+                while z < len(ids) and ids[z] not in self.marked:
+                    z += 1
+                pieces.append(ids[a:z])
+                of.append((k, a > 0 and self.model.prefix))
+                a = z
+        out: list[list[str]] = [[] for _ in lists]
+        for (k, space), text in zip(of, self.tokenizer.decode_batch(pieces, skip_special_tokens=False), strict=True):
+            out[k].append(" " + text if space else text)  # the decoder takes a space for the dummy prefix
+        return ["".join(x) for x in out]
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes.__getitem__, ids))
-        return (raw[1:] if self.model.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.decode_batch([list(ids)])[0]
 
-    def decode_plain(self, text: str) -> str:
-        out = self.normalise(text).replace(MARK, " ")
-        return out[1:] if self.model.prefix and out[:1] == " " else out
 
+class Held:
+    """A model's codec in a worker, built at first use and freed at a task's end."""
 
-@functools.lru_cache(maxsize=2)
-def _codec(digest: str, key: int) -> Codec:
-    return Codec(_data[digest])
+    def __init__(self, data: bytes):
+        self.data, self.made = data, None
 
+    def __getstate__(self):
+        return self.data
 
-_data: dict[str, bytes] = {}
+    def __setstate__(self, data):
+        self.__init__(data)
 
+    def get(self) -> Codec:
+        if self.made is None:
+            self.made = Codec(self.data)
+        return self.made
 
-def codec(data: bytes) -> Codec:
-    """This process's codec of a model."""
-    digest = hashlib.sha256(data).hexdigest()
-    _data[digest] = data
-    return _codec(digest, 0)
+    def free(self) -> None:
+        self.made = None
+        textkit.tidy()
 
 
 def read_model(path: str) -> bytes:
@@ -233,36 +240,32 @@ def read_model(path: str) -> bytes:
 
 def encode(docs: DataFrame, data: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ids, parity with the sentencepiece library, round_trip."""
+    held = Held(data)
 
     def make(ids, texts, s):
-        found, parity, back = codec(data).encode([x or "" for x in texts.to_pylist()])
+        found, parity, back = held.get().encode(strings(texts))
         return {id_col: ids, "ids": found, "parity": pa.array(parity, pa.bool_()), "round_trip": pa.array(back, pa.bool_())}
 
-    return map_text(docs, id_col, text_col, make, f"{id_col} long, ids array<int>, parity boolean, round_trip boolean")
-
-
-def _lists(parts: list[bytes]) -> pa.ListArray:
-    off = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=off[1:])
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+    return map_text(docs, id_col, text_col, make, f"{id_col} long, ids array<int>, parity boolean, round_trip boolean", done=held.free)
 
 
 def with_ids(docs: DataFrame, data: bytes, *, text_col: str = "text", to: str = "token_ids") -> DataFrame:
     """The rows with all their columns and their ids."""
     from pyspark.sql import types as T
 
-    from sparkloom.llm import textkit
-
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
+    held = Held(data)
 
     def run(batches):
-        c = codec(data)
-        for b in batches:
-            for i, j, _ in textkit.slices(b.column(at)):
-                part = b.slice(i, j - i)
-                found = c.encode([x or "" for x in part.column(at).to_pylist()])[0]
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, to])
+        try:
+            for b in batches:
+                for i, j in textkit.cuts(b.column(at)):
+                    part = b.slice(i, j - i)
+                    found = held.get().encode(strings(part.column(at)), check=False)[0]
+                    yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, to])
+        finally:
+            held.free()
 
     return docs.mapInArrow(run, schema)
 
@@ -271,9 +274,15 @@ def decode(rows: DataFrame, data: bytes, *, id_col: str = "doc_id", ids_col: str
     """Per row: id, text."""
     from pyspark.sql import functions as F
 
+    held = Held(data)
+
     def run(batches):
-        c = codec(data)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+        try:
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    part = b.slice(i, 256)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.get().decode_batch([x or [] for x in part.column(1).to_pylist()]), pa.string())], names=[id_col, "text"])
+        finally:
+            held.free()
 
     return rows.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"{id_col} long, text string")

@@ -110,9 +110,10 @@ def keep_good(docs: DataFrame, model: Discriminant, *, text_col: str = "text") -
 
     def run(batches):
         for b in batches:
-            keep = [model.score(stats.matrix(stats.counts(s))) >= 0.5 for _, _, s in textkit.slices(b.column(at))]
-            if keep:
-                yield b.filter(pa.array(np.concatenate(keep)))
+            for i, j, s in textkit.slices(b.column(at)):
+                kept = b.slice(i, j - i).filter(pa.array(model.score(stats.matrix(stats.counts(s))) >= 0.5))
+                if kept.num_rows:
+                    yield kept
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -37,14 +37,15 @@ HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_.-]*)")
+#: Dotted base64url parts, the first long enough for a JSON object with ``alg``: three of a signed token, five of an encrypted one.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
 #: A base64 run, over lines where a wrapped block goes on; a hex run of bytes.
 B64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 #: Where in a run a key can start and end: at lines and PEM marks.  The first characters are those of a DER sequence, an SSH key type's length, or the SSH magic.
 KEY_START = re.compile(r"(?:\A|(?<=\n)|(?<=-----))(?=[A-Za-z0-9+/_-]{32})(?=M[A-P]|AAAA|b3BlbnNza)")
 KEY_END = re.compile(r"(?=\r?\n)|(?=-----)|(?==*\Z)")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-MIN_RUN = 32
+MIN_RUN, MIN_HEADER = 32, 14
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 SSH_MAGIC = b"openssh-key-v1\0"
 #: Nested lengths are followed so deep.
@@ -59,8 +60,9 @@ def _table(chars: bytes) -> np.ndarray:
 
 _DIGITS, _UP, _LOW = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _HEX_BYTES, _B64_BYTES = _table(_DIGITS + b"abcdef"), _table(_DIGITS + _UP + _LOW + b"+/_-")
-#: What every base match and signed token holds, in lower case (hex and base64 runs are found by length).
-_MARKS = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"akia", b"eyj")
+_URL_BYTES = _table(_DIGITS + _UP + _LOW + b"_-")
+#: What every assign and access match holds, in lower case (the others are found by the length of their runs).
+_MARKS = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"akia")
 
 
 def tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -186,14 +188,25 @@ def key_spans(run: str) -> list[tuple[int, int, str]]:
 
 def is_signed_token(m: re.Match) -> bool:
     try:
-        head = json.loads(unbase64(m[1]) or b"")
-        if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
+        head = unbase64(m[1]) or b""
+        if not head.lstrip().startswith(b"{") or not isinstance(head := json.loads(head), dict) or not isinstance(head.get("alg"), str):
             return False
         return "enc" in head or isinstance(json.loads(unbase64(m[2]) or b""), dict)
     except (ValueError, RecursionError):
         return False
 
 
+def token_spans(text: str) -> list[tuple[int, int, str]]:
+    """Signed and encrypted tokens; where one part is no header, the next may be."""
+    found, at = [], 0
+    while m := JWT.search(text, at):
+        good = is_signed_token(m)
+        at = m.end() if good else m.end(1)
+        if good:
+            found.append((m.start(), m.end(), "jwt"))
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
@@ -201,7 +214,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    found = [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m)]
+    found = token_spans(text)
     for m in B64.finditer(text):
         found += [(m.start() + a, m.start() + z, kind) for a, z, kind in key_spans(m[0])]
     for m in HEX_ANY.finditer(text):
@@ -219,8 +232,19 @@ def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in order(spans))
 
 
+def _runs(s: textkit.Slice, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes, and those after the last, of runs of such bytes inside one document."""
+    inside = table[s.buf]
+    edge = np.zeros(len(s.buf) + 1, bool)
+    edge[s.off] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def suspects(s: textkit.Slice) -> np.ndarray:
-    """Documents (places in the slice) that can hold a span: with a mark, or a run of hex or base64 bytes of the least length."""
+    """Documents (places in the slice) that can hold a span: with a mark, a run of hex or base64 bytes of the least length, or dotted parts."""
     hit = np.zeros(s.n_docs, bool)
     low = s.buf.tobytes().lower()
     for mark in _MARKS:
@@ -230,13 +254,13 @@ def suspects(s: textkit.Slice) -> np.ndarray:
             hit[d] = True
             at = low.find(mark, int(s.off[d + 1]))
     for table, least in ((_HEX_BYTES, MIN_HEX), (_B64_BYTES, MIN_RUN)):
-        inside = np.zeros(len(s.buf) + 2, np.int8)
-        inside[1:-1] = table[s.buf]
-        turn = np.diff(inside)
-        a, b = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        long = b - a >= least  # a run over two documents only costs a look
-        hit[np.searchsorted(s.off, a[long], side="right") - 1] = True
-        hit[np.searchsorted(s.off, b[long] - 1, side="right") - 1] = True
+        a, b = _runs(s, table)
+        hit[np.searchsorted(s.off, a[b - a >= least], side="right") - 1] = True
+    a, b = _runs(s, _URL_BYTES)
+    b = b[b - a >= MIN_HEADER]
+    after = np.append(s.buf, np.zeros(2, np.uint8))  # a look beyond the document's end only costs a look
+    b = b[(after[b] == 0x2E) & (_URL_BYTES[after[b + 1]] | (after[b + 1] == 0x2E))]
+    hit[np.searchsorted(s.off, b - 1, side="right") - 1] = True
     return hit
 
 
@@ -264,26 +288,23 @@ def digest(spans: str) -> str:
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", char: str = "*") -> DataFrame:
     """The documents with every span's characters replaced; other columns as they were, ``n_chars`` unchanged as lengths stay."""
-    names = docs.columns
-    where = [names.index(text_col)]
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            i = where[0]
-            col, fixed = b.column(i), {}
-            for a, z, s in textkit.slices(col):
-                for d in np.flatnonzero(suspects(s)):
-                    text = col[a + int(d)].as_py() or ""
+            for i, j, s in textkit.slices(b.column(at)):
+                part, fixed = b.slice(i, j - i), {}
+                for d in map(int, np.flatnonzero(suspects(s))):
+                    text = part.column(at)[d].as_py() or ""
                     if spans := base_spans(text) + confirmed_spans(text):
                         out = list(text)
                         for p, q, _ in spans:
                             out[p:q] = char * (q - p)
-                        fixed[a + int(d)] = "".join(out)
-            if fixed:
-                values = col.to_pylist()
-                for k, v in fixed.items():
-                    values[k] = v
-                b = b.set_column(i, b.schema.field(i), pa.array(values, col.type))
-            yield b
+                        fixed[d] = "".join(out)
+                if fixed:
+                    col = part.column(at)
+                    values = [fixed[k] if k in fixed else col[k].as_py() for k in range(len(col))]
+                    part = part.set_column(at, b.schema.field(at), pa.array(values, col.type))
+                yield part
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240117)
 _TABLES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,7 +134,19 @@ def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
 
     Yields the first document, one past the last, and their slice.
     """
-    most = most or SLICE_BYTES
+    for i, j, buf, off in _cut(column, most or SLICE_BYTES):
+        yield i, j, Slice(buf, off)
+    tidy()
+
+
+def cuts(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Where ``slices`` cuts, without the word kernel."""
+    for i, j, _, _ in _cut(column, most or SLICE_BYTES):
+        yield i, j
+    tidy()
+
+
+def _cut(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -148,13 +160,13 @@ def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
-        yield i, j, Slice(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
-    tidy()
 
 
 def tidy() -> None:
-    """Gives freed memory back to the system: workers live on between tasks, beside the JVM."""
+    """Gives memory back to the system, tables of powers too: workers live on between tasks, beside the JVM."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

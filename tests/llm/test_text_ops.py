@@ -5,6 +5,7 @@ import collections
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -341,6 +342,38 @@ def test_wrapped_keys():
     assert secretscan.confirmed_spans("M" * 40 + "\n" + "AAAA" * 30 + "\n" + "-" * 60) == []
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_secrets_beside_each_other(spark, seed):
+    """Many short texts of hex and base64 in one slice: each as if it stood alone, in any order and partitioning."""
+    rng = np.random.default_rng(seed)
+    enc = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    key = der(b"\x02\x01\x00", b"\x30\x05\x06\x03\x2a\x03\x04", b"\x04\x10" + bytes(range(16)))
+    pool = ["deadbeef" * 4, "deadbeef" * 3, "deadbeef" * 2, "face", "abc", "", base64.b64encode(key).decode(), key.hex(), key.hex().upper(), f"{enc(b'{ \"alg\": \"none\"}')}.{enc(b'{}')}.", "AKIA" + "B" * 16, "AKIA", "to", "ken=abcdef", "token=abcdef", "a.b.c", "x" * 20 + ".", None, "é", "-----", "A" * 31]
+    docs = [(k, pool[p]) for k, p in enumerate(rng.integers(0, len(pool), 400))]
+    alone = lambda t: secretscan.written(secretscan.base_spans(t or "") + secretscan.confirmed_spans(t or ""))
+    want = {d: alone(t) for d, t in docs}
+    assert {x.split(":")[0] for v in want.values() for x in v.split(",") if x} == {"assign", "access", "hex", "jwt", "der"}
+    df = spark.createDataFrame(docs, DOC)
+    for some in (df.coalesce(1), df.repartition(7, "text"), df.orderBy(F.desc("doc_id"))):
+        assert {r["doc_id"]: r["spans"] for r in rows(secretscan.scan(some))} == want
+    for r in rows(secretscan.redact(df.coalesce(1))):
+        t = dict(docs)[r["doc_id"]]
+        assert (r["text"] is None) is (t is None) and len(r["text"] or "") == len(t or "") and ("*" in (r["text"] or "")) is bool(want[r["doc_id"]])
+
+
+def test_token_headers():
+    enc = lambda t: base64.urlsafe_b64encode(t.encode()).rstrip(b"=").decode()
+    spans = lambda t: secretscan.written(secretscan.confirmed_spans(t))
+    body = enc('{"sub":1}')
+    for head in ('{"alg":"HS256"}', '{ "alg" : "HS256" }', '{\n"alg":"HS256"}', ' {"alg":"HS256"}', '{\t"typ":"JWT","alg":"HS256"}'):
+        t = f"{enc(head)}.{body}.c2ln"
+        assert spans(f"({t}).") == f"jwt:1:{1 + len(t)}"
+        assert spans(f"some-host-name-of-a-server.{t}") == f"jwt:27:{27 + len(t)}"
+    jwe = ".".join([enc('{"alg":"dir","enc":"A128GCM"}'), "", "aXY", "Y2lwaGVy", "dGFn"])
+    assert spans(f"{jwe}. And") == f"jwt:0:{len(jwe)}"
+    assert spans(f"{enc('{}')}.{body}.c2ln") == spans(f"{enc('[1,2,3,4,5,6]')}.{body}.c2ln") == spans(f"{enc(chr(123) + ' alg no json at all')}.{body}.x") == ""
+
+
 def test_der_lengths():
     good = der(b"\x02\x01\x00", b"\x30\x05\x06\x03\x2a\x03\x04", b"\x04\x10" + b"k" * 16)
     assert secretscan.is_der_key(good)
@@ -379,19 +412,54 @@ def test_pieces(spark, model):
     assert pieces.encode(frame(spark, []), model).count() == 0
 
 
-def test_pieces_whole_and_small_cache(model, monkeypatch):
-    a = pieces.Codec(model)
-    monkeypatch.setattr(pieces, "CACHE", 3)
-    small = pieces.Codec(model)
-    whole = pieces.Codec(model)
-    whole.pattern = None
-    whole.tokenizer.normalizer = whole.normalizer
-    texts = [t or "" for t in TEXTS]
-    ids, parity, back = a.encode(texts)
-    assert small.encode(texts)[0].equals(ids)
-    other, agree, again = whole.encode(texts)
-    assert other.equals(ids) and all(again)
-    assert [t.tokens for t in [a.tokenizer.encode("▁the")]][0]
+def test_pieces_in_parts(model, monkeypatch):
+    """Cut texts and cut ids give what whole ones give."""
+    whole, cut = pieces.Codec(model), pieces.Codec(model)
+    texts = [t or "" for t in TEXTS] + ["  ".join(words(400)) + " ", " ▁ ▁▁  a", " " * 50, "a" * 99 + " "]
+    ids, parity, back = whole.encode(texts)
+    for part, decoded in ((1, 1), (7, 2), (40, 9)):
+        monkeypatch.setattr(pieces, "PART", part)
+        monkeypatch.setattr(pieces, "DECODED", decoded)
+        assert any(len(cut.parts(t)) > 2 for t in texts)
+        other, agree, again = cut.encode(texts)
+        assert other.equals(ids) and agree == parity and again == back and all(parity)
+        assert cut.decode_batch(ids.to_pylist()) == [t.replace("▁", " ") for t in texts]
+    assert whole.decode([1, 2]) == ""
+
+
+def test_pieces_parity_is_a_check(model):
+    """Where the libraries differ, the ids stay those of the tokenizers library and parity says so."""
+    c = pieces.Codec(model)
+    texts = ["all the words", "other things", ""]
+    want = c.encode(texts)[0]
+    c.theirs = lambda parts: [[5] if "other" in p else c.library.encode(p) for p in parts]
+    ids, parity, back = c.encode(texts)
+    assert ids.equals(want) and parity == [True, False, True] and all(back)
+
+
+def unigram(fallback: bool, squeeze: bool = False) -> bytes:
+    """A small unigram model file."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    field = lambda k, v: varint(k << 3 | 2) + varint(len(v)) + v if isinstance(v, bytes) else varint(k << 3) + varint(v)
+    piece = lambda p, x, t: field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", x) + field(3, t))
+    out = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3)
+    if fallback:
+        out += b"".join(piece(f"<0x{k:02X}>", 0.0, 6) for k in range(256))
+    for k, p in enumerate(["▁", "▁the", "▁then", "he", "n", "t", "e", "h", "▁ca", "ca", "c", "a", "▁▁", "at", "ten"]):
+        out += piece(p, -1.5 - 0.37 * k, 1)
+    trainer = field(3, 1) + (field(35, 1) if fallback else b"")
+    return out + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, int(squeeze)) + field(5, 1))
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_pieces_unigram(fallback, squeeze):
+    c = pieces.Codec(unigram(fallback, squeeze))
+    assert c.model.kind == pieces.UNIGRAM and c.model.byte_fallback is fallback and c.model.cuts is (not squeeze)
+    texts = ["then the cat", "the  then ten", "hat", "", "then cat the hen"] + (["étè 漢"] if fallback else ["the x cat"])
+    ids, parity, back = c.encode(texts)
+    assert all(parity) and ids.to_pylist() == [c.library.encode(t) for t in texts]
+    assert back == [fallback or "x" not in t for t in texts]
 
 
 # ---------------------------------------------------------------- 8 licences
