@@ -5,18 +5,30 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of one row a key up to which it is broadcast, by count.
+MAX_BROADCAST_ROWS = 200_000
+#: Rows of one key from which the key's rows are joined without a shuffle.
+HOT_ROWS = 1_000
+#: Seconds between two collections of garbage on the driver, which let go of the shuffle files of plans that are over.
+GC_SECONDS = 10.0
+_last_gc = [0.0]
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or, where it is unset (tests), one made here."""
+    """The folder that all machines share: spark.checkpoint.dir, or, where it is unset and the master local (tests), one made here."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             at = have.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that all machines share")
         else:
             at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
             spark.sparkContext.setCheckpointDir(at)
@@ -26,8 +38,9 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """The rows written as a table in the shared folder and read again.
 
-    Cuts the lineage, so a lost executor costs no more than the stages after it; shuffle files
-    of what led here are given back at once.  Tables go when the application ends.
+    Cuts the lineage, so a lost executor costs no more than the stages after it.  Spark deletes the
+    shuffle files of what led here when the driver collects its garbage, which is asked for now and
+    then.  Tables go when the application ends.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/sparkloom/{what}-{uuid.uuid4().hex}"
@@ -35,8 +48,10 @@ def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     del df
     atexit.register(_remove, spark, path)
-    gc.collect()
-    spark._jvm.System.gc()
+    if time.monotonic() - _last_gc[0] > GC_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _last_gc[0] = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -60,3 +75,19 @@ def partitions(spark: SparkSession, size: int, each: int) -> int:
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 20, size // each + 1)) if size < 1 << 55 else least
+
+
+def join_by_size(big: DataFrame, small: DataFrame, keys: list[str], size: str, what: str = "sizes") -> DataFrame:
+    """big inner-joined with small, which has one row a key and in ``size`` the key's rows in big; no key's rows meet in one task.
+
+    A small table of few rows is broadcast.  Of a larger one only the keys of most rows are
+    (``MAX_BROADCAST_ROWS`` of them at most); those left have 1 / MAX_BROADCAST_ROWS of all rows
+    or ``HOT_ROWS`` each at most, and are shuffled.
+    """
+    small = written(small, what)
+    if small.count() <= MAX_BROADCAST_ROWS:
+        return big.join(F.broadcast(small.drop(size)), keys)
+    hot = written(small.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size), *keys).limit(MAX_BROADCAST_ROWS), f"hot-{what}")
+    few = F.broadcast(hot.select(*keys))
+    rest = big.join(few, keys, "left_anti").join(small.join(few, keys, "left_anti").drop(size), keys)
+    return big.join(F.broadcast(hot.drop(size)), keys).unionByName(rest.select(*big.columns, *[c for c in small.columns if c not in (*keys, size)])) if not hot.isEmpty() else rest
