@@ -33,8 +33,10 @@ from sparkloom.plans.shared import written
 
 WINDOW, LONG_WORDS, LEAST_SHARE = 8, 11, 0.6
 SHORT_WINDOW, LEAST_WORDS = 5, 3
-#: Benchmark windows, and candidate documents, up to which a list is broadcast, by count.
-MAX_BROADCAST_WINDOWS, MAX_BROADCAST_IDS = 1_000_000, 200_000
+#: Benchmark windows (with tokens; some 60 MB), and candidate documents, up to which a list is broadcast, by count.
+MAX_BROADCAST_WINDOWS, MAX_BROADCAST_IDS = 200_000, 200_000
+#: Parts into which the documents with one window are dealt if the index is too large to broadcast.
+SALTS = 16
 
 # The placeholders' marks (private-use characters) and the units of measure.
 OPEN, CLOSE = "\ue000", "\ue001"
@@ -113,7 +115,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     index = written(index, "items")
     about = index.groupBy("width").agg(F.count("*").alias("n")).collect()  # one row for each of a few widths
     widths, few = {r.width for r in about}, sum(r.n for r in about) <= MAX_BROADCAST_WINDOWS
-    small = lambda df: F.broadcast(df) if few else df
+    # Beyond the bound every part of the documents meets all windows, so that a frequent window has several tasks.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    dealt = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    meet = lambda many, list_, keys, how: many.join(F.broadcast(list_), keys, how) if few else many.select("*", salt).join(dealt(list_), [*keys, "salt"], how)
     used = [c for c in classes() if c[0] in widths]
     if not used:
         none = F.lit(None)
@@ -122,7 +127,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     plain = rows.select("id", tokens(F.col("text")).alias("plain"))
     strides = {c[0]: c[1] for c in used}
     probes = plain.select("id", F.explode(F.array_distinct(F.concat(*[hashes("plain", w, s) for w, s in sorted(strides.items())]))).alias("h"))
-    hit = written(probes.join(small(index.select("h").distinct()), "h", "left_semi").select("id").distinct(), "suspects")
+    hit = written(meet(probes, index.select("h").distinct(), ["h"], "left_semi").select("id").distinct(), "suspects")
 
     suspects = rows.join(F.broadcast(hit) if hit.count() <= MAX_BROADCAST_IDS else hit, "id", "left_semi")
     found = _templates(suspects)
@@ -130,14 +135,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     for w in sorted(widths):
         part = _windows(found, w)
         every = part if every is None else every.unionByName(part)
-    pairs = every.select("id", F.col("place").alias("at"), "h", "width", F.col("cut").alias("theirs")).join(small(index.select(F.col("id").alias("item"), "place", "h", "width", F.col("cut").alias("ours"))), ["h", "width"])
+    pairs = meet(every.select("id", F.col("place").alias("at"), "h", "width", F.col("cut").alias("theirs")), index.select(F.col("id").alias("item"), "place", "h", "width", F.col("cut").alias("ours")), ["h", "width"], "inner")
     zipped = F.zip_with(values(F.col("ours")), values(F.col("theirs")), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
     once = pairs.groupBy("id", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(zipped))).alias("z"))
     a, b = F.array_distinct(F.transform("z", lambda x: x["a"])), F.array_distinct(F.transform("z", lambda x: x["b"]))
     once = once.where((F.size(a) == F.size("z")) & (F.size(b) == F.size("z")))
     total = index.groupBy(F.col("id").alias("item")).agg(F.count_distinct("place").alias("n_windows"))
     held = once.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.max(F.size("z")).cast("long").alias("n_slots"), F.max(F.exists("z", lambda x: x["a"] != x["b"])).alias("reparameterised"))
-    held = held.join(small(total), "item").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= least_share)
+    held = held.join(F.broadcast(total) if few else total, "item").withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= least_share)
     return held.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "n_windows", "share", "n_slots", "reparameterised")
 
 

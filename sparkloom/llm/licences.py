@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.plans.shared import written
+from sparkloom.plans.shared import join_by_size, written
 
 LEAST_COSINE = 0.6
 #: Directories with a licence up to which the list is broadcast, by count.
@@ -128,12 +128,15 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     named = F.lower(F.regexp_extract("path", "[^/]*$", 0)).rlike(f"^(?:{FILE_NAMES})(?:[._-].*)?$")
     covers = names.join(own, "id").where(F.col("path").isNotNull() & (F.col("whole") | named)).groupBy(parent(F.col("path")).alias("root")).agg(F.min_by("licence", F.struct(-F.col("cosine"), "path", "licence")).alias("inherited"))
     covers = written(covers, "covers")
-    small = (lambda df: F.broadcast(df)) if covers.count() <= MAX_BROADCAST_DIRS else (lambda df: df)
 
     dirs = names.where(F.col("path").isNotNull()).select(parent(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))).alias("root"))
-    near = up.join(small(covers), "root").groupBy("dir").agg(F.max_by("inherited", F.length("root")).alias("inherited"))
+    if covers.count() <= MAX_BROADCAST_DIRS:
+        met = up.join(F.broadcast(covers), "root")
+    else:  # every directory meets the top ones
+        met = join_by_size(up, up.groupBy("root").agg(F.count("*").alias("size")).join(covers, "root"), ["root"], "size", "roots")
+    near = met.groupBy("dir").agg(F.max_by("inherited", F.length("root")).alias("inherited"))
     near = written(near, "nearest")
     few = near.count() <= MAX_BROADCAST_DIRS
     out = files_of.withColumn("dir", parent(F.col("path"))).join(F.broadcast(near) if few else near, "dir", "left")

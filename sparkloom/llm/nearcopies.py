@@ -41,7 +41,7 @@ from sparkloom.llm import textkit
 from sparkloom.llm.arrowmap import map_text
 from sparkloom.llm.textkit import mix
 from sparkloom.operators.components import connected_components
-from sparkloom.plans.shared import written
+from sparkloom.plans.shared import HOT_ROWS, join_by_size, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -216,7 +216,7 @@ def crossing(texts: DataFrame, similarity: float) -> DataFrame:
 
     Elements are ordered by the sketch's counts, then by hash: the same order for all texts, so
     the filter is exact.  Of each element's members only those outside its most frequent
-    component look for partners.
+    component look for partners; those of a frequent element are dealt to several tasks.
     """
     counts = texts.sparkSession.sparkContext.broadcast(frequencies(texts))
 
@@ -236,13 +236,14 @@ def crossing(texts: DataFrame, similarity: float) -> DataFrame:
 
     rows = written(texts.select("id", "c", "text").mapInArrow(prefixes, "x long, id long, c long, n long, i long"), "prefixes")
     by = rows.groupBy("x", "c").agg(F.count("*").alias("m"))
-    mixed = by.groupBy("x").agg(F.max_by("c", "m").alias("main"), F.count("*").alias("k")).where("k > 1").select("x", "main")
-    mixed = written(rows.join(mixed, "x"), "mixed")
-    a = mixed.where("c <> main").select("x", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("i").alias("pi"))
-    b = mixed.select("x", F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("i").alias("qi"))
+    mixed = by.groupBy("x").agg(F.max_by("c", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1").select("x", "main", "m", (1 + F.col("m") / HOT_ROWS).cast("int").alias("salts"))
+    mixed = written(join_by_size(rows, mixed, ["x"], "m", what="elements"), "mixed")
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    a = mixed.where("c <> main").select("x", salt.alias("salt"), F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("i").alias("pi"))
+    b = mixed.select("x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("i").alias("qi"))
     # At their first common element two similar multisets still have their whole overlap before them.
     enough = F.least(F.col("pn") - F.col("pi"), F.col("qn") - F.col("qi")) >= similarity / (1 + similarity) * (F.col("pn") + F.col("qn")) - 1e-6
-    met = a.join(b, "x").where((F.col("pc") != F.col("qc")) & enough)
+    met = a.join(b, ["x", "salt"]).where((F.col("pc") != F.col("qc")) & enough)
     return met.groupBy(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).agg(F.count("*").alias("m"))
 
 
@@ -253,17 +254,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     made = written(sketch(some), "sketches")
     copies = made.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     # Only classes of several copies need a join; the smallest id of each goes on.
-    several = made.select("id", "w1", "w2").join(copies.where("n > 1"), ["w1", "w2"]).select("id", "rep").where("id <> rep").distinct()
+    several = join_by_size(made.select("id", "w1", "w2"), copies.where("n > 1"), ["w1", "w2"], "n", what="copies").select("id", "rep").where("id <> rep").distinct()
     first = copies.select(F.col("rep").alias("id"), "w1", "w2")
     reps = written(made.join(first, ["id", "w1", "w2"], "left_semi").dropDuplicates(["id", "w1", "w2"]), "representatives")
 
     member = reps.select("id", F.explode("keys").alias("key"))
-    counted = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = written(member.join(counted, "key"), "buckets")
+    counted = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    member = written(join_by_size(member, counted, ["key"], "size", what="counted"), "buckets")
     central = member.groupBy("id").agg(F.sum("n").alias("c"))
     member = member.join(central, "id").select("key", "id", "c")
-    hub = member.groupBy("key").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("hub"))
-    member = written(member.join(hub, "key").select("key", "id", "hub"), "members")
+    hub = member.groupBy("key").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("hub"), F.count("*").alias("size"))
+    member = written(join_by_size(member, hub, ["key"], "size", what="hubs").select("key", "id", "hub"), "members")
     stars = member.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n"))
     sims = verify(some, stars)
     links = sims.where(F.col("sim") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -271,13 +272,20 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # What is left: members of buckets with several components.
     own = member.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = own.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    left = written(own.join(mixed, "key", "left_semi").select("id", "c").distinct(), "open")
+    mixed = own.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
+    left = written(join_by_size(own, mixed, ["key"], "size", what="mixed-buckets").select("id", "c").distinct(), "open")
+    if left.isEmpty():
+        return _named(rows, parts, several, None, id_col)
     texts = some.join(F.broadcast(left) if left.count() <= MAX_BROADCAST_IDS else left, "id").select("id", "c", "text")
     more = verify(some, crossing(written(texts, "texts"), similarity)).where(F.col("sim") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    every = parts.where("id <> component").select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more).unionByName(several.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
-    found = connected_components(every)
+    return _named(rows, parts, several, more, id_col)
+
+
+def _named(rows: DataFrame, parts: DataFrame, several: DataFrame, more: DataFrame | None, id_col: str) -> DataFrame:
+    """Every row's class from the components of verified links, exact copies, and links found later."""
+    every = parts.where("id <> component").select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(several.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
+    found = connected_components(every if more is None else every.unionByName(more))
     # Only ids that are linked join; others are their own class.
     out = rows.select("id").join(found, "id", "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("class_id"))
     return out.withColumn("is_kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))

@@ -13,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import arrowmap, boosted, decontaminate, langid, licences, nearcopies, pieces, quality, secretscan, stats, substrings, textkit, urls
+from sparkloom.operators import components
+from sparkloom.plans import shared
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOC = "doc_id long, text string"
@@ -113,10 +115,23 @@ def brute_url(url, rules, listed):
     return host, path, None, "block" if any(fits(e, path or "/") for e in listed) else "allow"
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_urls(spark, few, monkeypatch):
-    if not few:
-        monkeypatch.setattr(urls, "MAX_BROADCAST_ENTRIES", 0)
+@pytest.fixture
+def large(monkeypatch):
+    """Every list counts as too long for a broadcast, and few rows of one key as many."""
+    for module, name, value in ((urls, "MAX_BROADCAST_ENTRIES", 0), (urls, "MAX_BROADCAST_ROWS", 0), (shared, "MAX_BROADCAST_ROWS", 3), (shared, "HOT_ROWS", 4), (components, "MAX_BROADCAST_ROWS", 0),
+                                (nearcopies, "MAX_BROADCAST_IDS", 0), (nearcopies, "HOT_ROWS", 2), (decontaminate, "MAX_BROADCAST_WINDOWS", 0), (decontaminate, "MAX_BROADCAST_IDS", 0), (licences, "MAX_BROADCAST_DIRS", 0)):
+        monkeypatch.setattr(module, name, value)
+
+
+def test_large_lists(spark, large):
+    """The forms for long lists and frequent keys give the same results."""
+    test_urls(spark)
+    test_near_copies(spark)
+    test_decontamination(spark)
+    test_licences(spark)
+
+
+def test_urls(spark):
     rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"), ("allow", "tie.io/a"), ("block", "tie.io/a")]
     listed = ["bad.org/", "x.io/p/"]
     given = [None, "", "no scheme/x", "http://A.Example.COM/en/71?x#y", "https://example.com/en/6", "http://net", "http://a.net/de/9", "http://notnet/x", "http://example.net/de/80", "ftp://org/es/#q", "http://w.bad.org", "http://x.io/p", "http://x.io/p/1",
@@ -139,6 +154,21 @@ def test_bloom_has_no_false_negatives(spark):
     assert probe(spark.range(3000).select(F.concat(F.lit("n"), "id").alias("key"))) < 600
 
 
+def test_long_list_of_urls(spark):
+    """100,000 entries: the Bloom filter passes few of the other keys, and the verdicts are exact."""
+    n = 100_000
+    listed = spark.range(n).select(F.concat(F.lit("h"), F.col("id") % 1000, F.lit(".example/"), "id").alias("entry"))
+    df = spark.range(0, 4 * n, 7).select(F.col("id").alias("page_id"), F.concat(F.lit("http://w.h"), F.col("id") % 1000, F.lit(".example/"), "id").alias("url"))
+    got = urls.filter_urls(df, spark.createDataFrame([], "action string, entry string"), listed)
+    # A longer number begins with a listed one, so all are listed as prefixes; other hosts are not.
+    assert got.where("verdict = 'block'").count() == sum(any(k[:z] and int(k[:z]) < n and int(k[:z]) % 1000 == int(k) % 1000 and str(int(k[:z])) == k[:z] for z in range(1, len(k) + 1)) for k in map(str, range(0, 4 * n, 7)))
+    keys = urls.entries(listed, "listed").withColumn("key", F.concat_ws("", "r_host", "r_path"))
+    blocks = 1 << 15
+    block, mask = urls._block_and_mask(F.col("key"), blocks)
+    others = spark.range(n).select(F.concat(F.lit("other"), "id").alias("key")).select(block.alias("block"), mask.alias("mask"))
+    assert others.join(urls.bloom(keys, blocks), "block").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).count() < n // 50
+
+
 # ---------------------------------------------------------------- 3 substrings
 
 
