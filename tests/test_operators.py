@@ -341,7 +341,7 @@ def test_pixel_functions():
     img = texture(5, 160)
     lab = pixels.rgb_to_lab(img)
     assert np.abs(pixels.lab_to_rgb(lab).astype(int) - img).max() <= 1
-    assert pixels.hsv_to_rgb(0, 255, 200) == [200, 0, 0] and pixels.hsv_to_rgb(60, 255, 200) == [0, 200, 0]
+    assert pixels.hsv_to_rgb([0, 60], [255, 255], [200, 200]).tolist() == [[200, 0, 0], [0, 200, 0]]
     found = pixels.verify_translation(img[:120, :120], img[30:150, 20:140])
     assert found and found["ncc"] > 0.99 and abs(found["overlap"] - 90 * 100 / 120**2) < 0.02
     assert pixels.verify_translation(img[:120, :120], texture(9, 120)) is None
@@ -352,6 +352,19 @@ def test_pixel_functions():
     bank = pixels.palette_bank(10, 6, 1)
     pools = pixels.split_palettes(bank, {"train": 4, "val": 3, "test": 3}, 1)
     assert len({p["palette_id"] for pool in pools.values() for p in pool}) == 10
+    assert bank[:4] == pixels.palette_bank(4, 6, 1) and all(0 <= c <= 255 for p in bank for rgb in p["colors"] for c in rgb)
+    flat = {"crop": [0, 0, 160, 160], "rotation_deg": 0.0, "scale": 1.0}
+    assert (pixels.warp(img, flat, 160) == img).all() and (pixels.warp(img, flat | {"perspective": [[0, 0]] * 4}, 160) == img).all()
+    assert 0 < np.abs(pixels.warp(img, flat | {"blur_sigma": 0.8}, 160).astype(int) - img).mean() and np.isclose(pixels.blurred(np.ones((5, 7)), 1.3), 1).all()
+    square, moved = np.array([[0, 0], [9, 0], [9, 9], [0, 9.0]]), np.array([[1, 0], [9, 1], [8, 9], [0, 8.0]])
+    at = pixels.homography(square, moved) @ np.append(square, np.ones((4, 1)), 1).T
+    assert np.allclose((at[:2] / at[2]).T, moved)
+    two = np.zeros((8, 8), np.uint8)
+    two[4:] = 3  # of four clusters two are there
+    grey = np.repeat(np.where(two[..., None] > 0, 200, 50), 3, 2).astype(np.uint8)
+    for invert in (0.0, 1.0):
+        out, inverted = pixels.tonal_remap(grey, two, [[0, 0, 0], [255, 255, 255]], np.random.default_rng(0), invert)
+        assert inverted == bool(invert) and (int(out[0, 0].sum()) > int(out[7, 7].sum())) == inverted
     for method in ("kmeans_palette_swap", "lab_hue_chroma_remap", "tonal_remap"):
         out, meta = pixels.recolour(img, method, pools["val"], 7, size=64)
         again, _ = pixels.recolour(img, method, pools["val"], 7, size=64)
