@@ -1,79 +1,131 @@
-"""Similarity joins of vectors: blocked matrix products and banded Hamming joins.
+"""Similarity joins of vectors: a grid of matrix products, and Hamming joins by multi-index hashing.
 
-Pairs of blocks meet by an equi-join on block numbers and are multiplied in NumPy, so
-memory is two blocks and work spreads over all cores; no nested-loop join runs.
+The queries are cut into rows of a grid, the gallery into its columns; a cell holds its
+part of the queries and streams its part of the gallery past it, block by block, as
+NumPy products.  A vector is sent once for each cell it meets, so with HELD rows held
+a join of n and m vectors shuffles about n * m / HELD vectors, and no nested-loop join runs.
 Scores are rounded to 9 decimals before they are compared, so that ties are ties on any
 machine; equal scores go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.vectors import hamming, normalise
+from sparkloom.plans.shared import written
 
-#: Rows of a block.
-BLOCK = 512
+#: Rows of a block, and rows of queries that a cell holds (32 MB of 128 numbers each with their scores of a block).
+BLOCK, HELD = 512, 16_384
 DECIMALS = 9
 
 
-def _blocks(df: DataFrame, prefix: str) -> tuple[DataFrame, int]:
-    """Rows dealt into blocks of about BLOCK by a hash of their id: block, ids, vectors (normalised)."""
-    n = max(1, -(-df.count() // BLOCK))
-    unit = df.select("id", normalise("vec").alias("vec"))
-    packed = unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{prefix}_block")).agg(F.collect_list(F.struct("id", "vec")).alias(f"{prefix}_rows"))
-    return packed, n
-
-
-def _block_pairs(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    q, _ = _blocks(queries, "q")
-    g, n = _blocks(gallery, "g")
-    dealt = q.withColumn("g_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return dealt.join(g, "g_block").select("q_rows", "g_rows")
-
-
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows], np.float64)
-
-
-def pair_scores(queries: DataFrame, gallery: DataFrame, least: float | None = None, id_type: str = "long") -> DataFrame:
-    """(q_id, g_id, score) cosine of every query and gallery row (of those from ``least``); both: (id, vec)."""
+def _packed(df: DataFrame, role: int, blocks: int, lane: Column, within: list[str]) -> DataFrame:
+    """Rows dealt by a hash of their id into blocks of about BLOCK: lane, block, ids, vectors (normalised, end to end)."""
+    unit = df.select(*within, "id", normalise("vec").alias("vec"))
+    dealt = unit.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rows = dealt.groupBy(*within, "block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("rows"))
+    return rows.select(*within, lane.alias("lane"), F.lit(role).alias("role"), "block", F.col("rows.id").alias("ids"), F.flatten(F.col("rows.vec")).alias("flat"))
+
+
+def _grid(queries: DataFrame, gallery: DataFrame, make: Callable, schema: str, within: list[str]) -> DataFrame:
+    """Runs make(held, blocks) in every cell: the queries' (ids, vectors), and an iterator of the gallery's."""
+    spark = queries.sparkSession
+    n, m = queries.count(), gallery.count()
+    q_blocks, g_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
+    across = max(1, -(-n // HELD))
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), across)
+    along = max(1, min(g_blocks, -(-cells // across)))
+    q = _packed(queries, 0, q_blocks, F.pmod(F.col("block"), F.lit(across)), within).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(along - 1))))
+    g = _packed(gallery, 1, g_blocks, F.pmod(F.col("block"), F.lit(along)), within).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    cell = lambda df, a, b: df.select(F.xxhash64(*within, F.col(a), F.col(b)).alias("cell"), "role", "block", "ids", "flat")
+    dealt = cell(q, "lane", "other").unionByName(cell(g, "other", "lane")).repartition(max(cells, 1), "cell").sortWithinPartitions("cell", "role", "block")
+
+    def matrix(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = b.column(3)[k].values
+        return ids.to_numpy(zero_copy_only=False), b.column(4)[k].values.to_numpy().reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for k in range(b.num_rows):
+                    yield b.column(0)[k].as_py(), b.column(1)[k].as_py(), matrix(b, k)
+
+        at, held, blocks = None, [], []
+
+        def flush():
+            if held and blocks:
+                ids = np.concatenate([i for i, _ in held])
+                yield from make((ids, np.concatenate([v for _, v in held])), blocks)
+
+        for c, role, block in rows():
+            if c != at:
+                yield from flush()
+                at, held, blocks = c, [], []
+            if role == 0:
+                held.append(block)
+            else:
+                blocks.append(block)
+                if sum(len(i) for i, _ in blocks) >= HELD:  # the gallery's part passes in pieces
+                    yield from flush()
+                    blocks = []
+        yield from flush()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _table(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    column = lambda x: pa.array(x, pa.string() if x.dtype == object else None)
+    return pa.RecordBatch.from_arrays([column(ids), column(others), pa.array(score)], names=["q_id", "g_id", "score"])
+
+
+def pair_scores(queries: DataFrame, gallery: DataFrame, least: float | None = None, id_type: str = "long", *, within: list[str] | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """(q_id, g_id, score) cosine of every query and gallery row (of those from ``least``); both: (id, vec).
+
+    within: columns that a pair must share; only such pairs are scored.  mask: (q_id, g_id) of the pairs to keep.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for q_rows, g_rows in zip(b["q_rows"], b["g_rows"], strict=True):
-                (qi, q), (gi, g) = _matrix(q_rows), _matrix(g_rows)
-                s = np.round(q @ g.T, DECIMALS)
+    def make(held, blocks):
+        qi, q = held
+        for gi, g in blocks:
+            for a in range(0, len(qi), BLOCK):
+                s = np.round(q[a : a + BLOCK] @ g.T, DECIMALS)
                 i, j = np.nonzero(s >= least) if least is not None else np.indices(s.shape).reshape(2, -1)
-                yield pd.DataFrame({"q_id": qi[i], "g_id": gi[j], "score": s[i, j]})
-
-    return _block_pairs(queries, gallery).mapInPandas(run, f"q_id {id_type}, g_id {id_type}, score double")
-
-
-def top_k(queries: DataFrame, gallery: DataFrame, k: int, *, exclude_self: bool = False, id_type: str = "long") -> DataFrame:
-    """(q_id, g_id, score, rank) of the k best; a block only passes on its own best k for each query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for q_rows, g_rows in zip(b["q_rows"], b["g_rows"], strict=True):
-                (qi, q), (gi, g) = _matrix(q_rows), _matrix(g_rows)
-                order = np.argsort(gi, kind="stable")
-                gi, g = gi[order], g[order]
-                s = np.round(q @ g.T, DECIMALS)
-                if exclude_self:
-                    s[qi[:, None] == gi[None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(qi)), best.shape[1])
-                j = best.reshape(-1)
-                ok = np.isfinite(s[i, j])
-                yield pd.DataFrame({"q_id": qi[i[ok]], "g_id": gi[j[ok]], "score": s[i, j][ok]})
-
-    found = _block_pairs(queries, gallery).mapInPandas(run, f"q_id {id_type}, g_id {id_type}, score double")
+                yield _table(qi[a + i], gi[j], s[i, j])
+
+    out = _grid(queries, gallery, make, f"q_id {id_type}, g_id {id_type}, score double", within or [])
+    return out if mask is None else out.join(mask.select("q_id", "g_id").distinct(), ["q_id", "g_id"], "left_semi")
+
+
+def top_k(queries: DataFrame, gallery: DataFrame, k: int, *, exclude_self: bool = False, id_type: str = "long", within: list[str] | None = None) -> DataFrame:
+    """(q_id, g_id, score, rank) of the k best; a piece of a cell only passes on its own best k for each query."""
+
+    def make(held, blocks):
+        qi, q = held
+        gi, g = np.concatenate([i for i, _ in blocks]), np.concatenate([v for _, v in blocks])
+        order = np.argsort(gi, kind="stable")
+        gi, g = gi[order], g[order]
+        for a in range(0, len(qi), BLOCK):
+            own = qi[a : a + BLOCK]
+            s = np.round(q[a : a + BLOCK] @ g.T, DECIMALS)
+            if exclude_self:
+                s[own[:, None] == gi[None, :]] = -np.inf
+            # All that reach the kth best, then the first k of them by score and id.
+            i, j = np.nonzero(s >= np.partition(s, -k, 1)[:, -k, None]) if s.shape[1] > k else np.indices(s.shape).reshape(2, -1)
+            best = np.lexsort((j, -s[i, j], i))
+            i, j = i[best], j[best]
+            ok = (np.arange(len(i)) - np.searchsorted(i, i) < k) & np.isfinite(s[i, j])
+            i, j = i[ok], j[ok]
+            yield _table(own[i], gi[j], s[i, j])
+
+    found = _grid(queries, gallery, make, f"q_id {id_type}, g_id {id_type}, score double", within or [])
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "g_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -84,24 +136,63 @@ def knn_pairs(rows: DataFrame, k: int, id_type: str = "long") -> DataFrame:
     return found.groupBy(F.least("q_id", "g_id").alias("i"), F.greatest("q_id", "g_id").alias("j")).agg(F.max("score").alias("score"))
 
 
+def _flips(width: int, most: int) -> list[int]:
+    """Masks of a number of so many bits with at most so many set."""
+    return [sum(1 << p for p in places) for k in range(most + 1) for places in combinations(range(width), k)]
+
+
+def index_plan(rows: int, most: int) -> tuple[int, int, int]:
+    """(parts, left, right): into how many parts hashes are cut, and how many bits of a part's key each side turns.
+
+    Of two hashes with at most ``most`` different bits some part has most // parts of them at most, so their keys
+    meet if left + right is that many.  Chosen for the fewest rows: keys written and, for evenly spread hashes, met.
+    """
+    best = None
+    for parts in range(1, most + 2):
+        radius, width = most // parts, 64 // parts
+        left = (radius + 1) // 2
+        keys = [sum(comb(width + 1, k) for k in range(x + 1)) for x in (left, radius - left)]
+        if max(keys) > 4096:
+            continue
+        cost = parts * (rows * sum(keys) + rows * rows * keys[0] * keys[1] / 2.0 ** min(width, 62))
+        if best is None or cost < best[0]:
+            best = (cost, parts, left, radius - left)
+    return best[1:]
+
+
 def hamming_pairs(rows: DataFrame, most: int, *, mode: str = "banded", bands: int = 4, cap: int | None = None) -> DataFrame:
     """Pairs (i < j) of 64-bit hashes with at most ``most`` different bits; rows: (id, h).
 
     banded: pairs that share one of four 16-bit bands, which all pairs of up to 3 bits do.
-    exact: the hash is cut into most + 1 parts, of which an accepted pair shares one, so the
-    join finds every pair without comparing all.  cap: buckets of more members are left out
-    (as a parity mode; None keeps all).
+    exact: multi-index hashing; parts as wide as the number of hashes allows, whose keys are looked up with
+    some bits turned, so that an equi-join finds every pair.  cap: buckets of more members are left out
+    (as a parity mode of banded; None keeps all).
     """
-    parts = bands if mode == "banded" else most + 1
-    edges = [64 * k // parts for k in range(parts + 1)]
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", 64 - b).bitwiseAND((1 << (b - a)) - 1 if b - a < 63 else -1).alias("key")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
     # Equal hashes are one row in the join; their members come back by the hash.
-    same = rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    dealt = same.select("h", "n", F.explode(keys).alias("k")).select("h", "n", "k.band", "k.key")
+    same = written(rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")), "hashes")
+    parts, left, right = (bands, 0, 0) if mode == "banded" else index_plan(same.count(), most)
+    edges = [64 * k // parts for k in range(parts + 1)]
+
+    def keyed(df: DataFrame, turned: int) -> DataFrame:
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        key = lambda a, b: F.shiftrightunsigned("h", 64 - b).bitwiseAND((1 << (b - a)) - 1 if b - a < 63 else -1)
+        each = F.array(*[F.struct(F.lit(k).alias("band"), key(a, b).alias("key")) for k, a, b in spans])
+        out = df.select("h", "n", F.explode(each).alias("k")).select("h", "n", "k.band", "k.key")
+        if not turned:
+            return out
+        masks = {k: F.array(*[F.lit(x).cast("long") for x in _flips(b - a, turned)]) for k, a, b in spans}
+        widths = sorted({b - a for _, a, b in spans})
+        by_width = {w: next(masks[k] for k, a, b in spans if b - a == w) for w in widths}
+        mask = by_width[widths[0]]
+        for w in widths[1:]:
+            mask = F.when(F.col("band").isin(*[k for k, a, b in spans if b - a == w]), by_width[w]).otherwise(mask)
+        return out.withColumn("mask", F.explode(mask)).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
+
+    one, two = keyed(same, left), keyed(same, right)
     if cap is not None:
-        fits = dealt.groupBy("band", "key").agg(F.sum("n").alias("m")).where(F.col("m") <= cap)
-        dealt = dealt.join(fits, ["band", "key"], "left_semi")
-    near = dealt.select("band", "key", F.col("h").alias("h1")).join(dealt.select("band", "key", F.col("h").alias("h2")), ["band", "key"]).where((F.col("h1") <= F.col("h2")) & (hamming("h1", "h2") <= most)).select("h1", "h2").distinct()
+        fits = one.groupBy("band", "key").agg(F.sum("n").alias("m")).where(F.col("m") <= cap)
+        one = one.join(fits, ["band", "key"], "left_semi")
+    near = one.select("band", "key", F.col("h").alias("h1")).join(two.select("band", "key", F.col("h").alias("h2")), ["band", "key"]).where((F.col("h1") <= F.col("h2")) & (hamming("h1", "h2") <= most)).select("h1", "h2").distinct()
     a, b = rows.select(F.col("id").alias("x"), F.col("h").alias("h1")), rows.select(F.col("id").alias("y"), F.col("h").alias("h2"))
     pairs = near.join(a, "h1").join(b, "h2").where((F.col("h1") != F.col("h2")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), hamming("h1", "h2").alias("distance"))

@@ -79,6 +79,45 @@ def test_hamming(spark):
     assert (1, 3) in banded and (1, 4) not in banded and banded <= set(want)
 
 
+@pytest.mark.parametrize("most", [0, 1, 3, 4, 8, 12])
+def test_hamming_exact_against_all_pairs(spark, most, monkeypatch):
+    """Planted pairs at every distance, however the hashes are cut."""
+    rng = np.random.default_rng(most)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    rows = [(k, int(h)) for k, h in enumerate(base)]
+    for k, h in enumerate(base):
+        for d in (most, most + 1):
+            rows.append((100 + 10 * k + d, int(h) ^ sum(1 << int(p) for p in rng.choice(64, d, replace=False))))
+    df = spark.createDataFrame([(i, h - 2**64 if h >= 2**63 else h) for i, h in rows], "id long, h long")
+    want = {(min(a, b), max(a, b)): (x ^ y).bit_count() for k, (a, x) in enumerate(rows) for b, y in rows[:k] if (x ^ y).bit_count() <= most}
+    assert len(want) >= 40 * (most > 0)
+    plans = {similarity.index_plan(n, most) for n in (10, 10**5, 10**7, 10**9)}
+    for plan in plans:
+        monkeypatch.setattr(similarity, "index_plan", lambda n, m, plan=plan: plan)
+        assert {(i, j): d for i, j, d in one(similarity.hamming_pairs(df, most, mode="exact"))} == want, plan
+
+
+def test_similarity_grid(spark, monkeypatch):
+    """Several cells, blocks and pieces give what one product gives; text ids, a mask, and pairs of one group only."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (70, 4)).astype(float)
+    df = spark.createDataFrame([(f"r{k:02d}", x.tolist(), k % 3) for k, x in enumerate(v)], "id string, vec array<double>, grp int")
+    s = brute_scores(v, v)
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    monkeypatch.setattr(similarity, "HELD", 24)
+    rows = df.select("id", "vec")
+    assert {(r.q_id, r.g_id): r.score for r in similarity.pair_scores(rows, rows, id_type="string").collect()} == {(f"r{i:02d}", f"r{j:02d}"): s[i, j] for i in range(70) for j in range(70)}
+    got = {(r.q_id, r["rank"]): r.g_id for r in similarity.top_k(rows, rows, 3, exclude_self=True, id_type="string").collect()}
+    np.fill_diagonal(s, -np.inf)
+    order = np.argsort(-s, 1, kind="stable")
+    assert got == {(f"r{i:02d}", k + 1): f"r{order[i, k]:02d}" for i in range(70) for k in range(3)}
+    inside = similarity.pair_scores(df, df, 0.5, "string", within=["grp"])
+    assert {(r.q_id, r.g_id) for r in inside.collect()} == {(f"r{i:02d}", f"r{j:02d}") for i in range(70) for j in range(70) if i % 3 == j % 3 and (s[i, j] >= 0.5 or (i == j and v[i].any()))}
+    mask = spark.createDataFrame([("r01", "r02"), ("r01", "r99")], "q_id string, g_id string")
+    assert one(similarity.pair_scores(rows, rows, id_type="string", mask=mask).select("q_id", "g_id")) == [("r01", "r02")]
+    assert similarity.top_k(rows.limit(0), rows, 3, id_type="string").count() == similarity.pair_scores(rows, rows.limit(0), id_type="string").count() == 0
+
+
 def brute_scores(q, g):
     n = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     return np.round(n(q) @ n(g).T, 9)
