@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.strings import palette_band
 from sparkloom.functions.vectors import l1
+from sparkloom.operators.ranges import quantiles
+from sparkloom.operators.schema import with_index
 from sparkloom.operators.similarity import knn_pairs, top_k
+from sparkloom.plans.shared import written
 
 
 def nearest_train(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -15,8 +19,7 @@ def nearest_train(test: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def audit_percentiles(audit: DataFrame) -> DataFrame:
-    p = lambda q: F.expr(f"percentile(cosine, {q})")
-    return audit.agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("cosine").alias("max"))
+    return audit.agg(F.count("*").alias("n"), F.max("cosine").alias("max")).join(quantiles(audit, "cosine", {"p50": 0.5, "p90": 0.9, "p99": 0.99}))
 
 
 def top_report(audit: DataFrame, n: int) -> DataFrame:
@@ -40,6 +43,7 @@ def link_action(a_design: Column, a_split: Column, b_design: Column, b_split: Co
 
 def resolve_links(links: DataFrame, manifest: DataFrame) -> DataFrame:
     """Links with action and target; an image that the manifest lacks is an error.  links: (test_image_id, other_image_id, ...)."""
+    manifest = written(manifest.select("image_id", "design_id", "split"), "resolved")
     ids = links.select(F.explode(F.array("test_image_id", "other_image_id")).alias("image_id"))
     if missing := ids.join(manifest, "image_id", "left_anti").limit(5).collect():
         raise ValueError(f"links name images the manifest lacks: {[r.image_id for r in missing]}")
@@ -55,9 +59,9 @@ def exclusions(links: DataFrame, audited: DataFrame, manifest: DataFrame, vector
     Test designs that no audit covers and no link excludes go by rule if any of their images has
     a train image from this cosine.  audited: (image_id); vectors: (image_id, id, vec).
     """
-    real = manifest.where(~F.col("is_synthetic"))
+    real = written(manifest.where(~F.col("is_synthetic")).select("image_id", "design_id", "split"), "real")
     test = real.where("split = 'test'").select("design_id").distinct()
-    linked = resolve_links(links, manifest).where(F.col("target").isNotNull()).select(F.col("target").alias("design_id")).distinct().withColumn("linked", F.lit(True))
+    linked = resolve_links(links, real).where(F.col("target").isNotNull()).select(F.col("target").alias("design_id")).distinct().withColumn("linked", F.lit(True))
     covered = real.join(audited.select("image_id").distinct(), "image_id", "left_semi").select("design_id").distinct().withColumn("covered", F.lit(True))
     state = test.join(linked, "design_id", "left").join(covered, "design_id", "left")
     open_ = state.where("linked IS NULL AND covered IS NULL").select("design_id")
@@ -69,9 +73,12 @@ def exclusions(links: DataFrame, audited: DataFrame, manifest: DataFrame, vector
 
 
 def exclusion_counts(found: DataFrame) -> DataFrame:
-    """One row; the four reasons partition the test designs by construction."""
+    """One row of counts and the designs left; that the reasons partition the test designs is asserted in the plan."""
     n = lambda r: F.count_if(F.col("reason") == r).alias(r)
-    return found.agg(F.count("*").alias("test_designs"), n("link"), n("rule"), n("kept_reviewed"), n("kept_unreviewed"))
+    out = found.agg(F.count("*").alias("test_designs"), n("link"), n("rule"), n("kept_reviewed"), n("kept_unreviewed"), F.count_distinct("design_id").alias("_d"))
+    whole = (F.col("test_designs") == F.col("link") + F.col("rule") + F.col("kept_reviewed") + F.col("kept_unreviewed")) & (F.col("test_designs") == F.col("_d"))
+    wrong = F.raise_error(F.lit("reasons do not partition the test designs")).cast("long")
+    return out.select(F.when(whole, F.col("test_designs")).otherwise(wrong).alias("test_designs"), "link", "rule", "kept_reviewed", "kept_unreviewed", (F.col("test_designs") - F.col("link") - F.col("rule")).alias("final_test_designs"))
 
 
 def mined_pairs(rows: DataFrame, *, k: int = 3, min_sat: float = 0.05, min_hue: float = 0.6) -> DataFrame:
@@ -85,6 +92,33 @@ def mined_pairs(rows: DataFrame, *, k: int = 3, min_sat: float = 0.05, min_hue:
     return met.withColumn("hue_l1", l1("a_hist", "b_hist")).where(F.col("hue_l1") >= min_hue).select("i", "j", "a_design", "b_design", F.bround("score", 4).alias("cosine"), F.bround("hue_l1", 3).alias("hue_l1"))
 
 
+def numbered_pairs(mined: DataFrame) -> DataFrame:
+    """Mined pairs with idx from 1 by falling cosine, then by ids."""
+    ordered = mined.withColumn("_o", F.struct((-F.col("cosine")).alias("c"), "i", "j"))
+    return with_index(ordered, "_o", "idx").withColumn("idx", F.col("idx") + 1).drop("_o")
+
+
+def review_flags(edges: DataFrame, least: float = 0.45) -> DataFrame:
+    """Verified pairs whose hues differ inside the overlap, for human eyes: kind, source, path_a, path_b, ncc, overlap, hue_overlap, note.
+
+    NaN hues (too few saturated pixels) never flag.  edges: (source, path_a, path_b, ncc, overlap, hue_overlap).
+    """
+    h = F.col("hue_overlap")
+    flagged = edges.where(h.isNotNull() & ~F.isnan(h) & (h >= least))
+    return flagged.select(F.lit("palette_differs").alias("kind"), "source", "path_a", "path_b", F.bround("ncc", 4).alias("ncc"), F.bround("overlap", 4).alias("overlap"), F.bround(h, 4).alias("hue_overlap"), F.lit("same pixels, other hues: one design in two colours?").alias("note"))
+
+
+def family_flags(majorities: DataFrame) -> DataFrame:
+    """The same columns for designs whose rows name several families; majorities: (design_id, craft_family, contradiction)."""
+    none = F.lit(None).cast("double")
+    return majorities.where("contradiction").select(F.lit("family_contradiction").alias("kind"), F.lit("").alias("source"), F.col("design_id").alias("path_a"), F.lit("").alias("path_b"), none.alias("ncc"), none.alias("overlap"), none.alias("hue_overlap"), F.concat(F.lit("several families; kept: "), "craft_family").alias("note"))
+
+
+def palette_tally(edges: DataFrame, distance: str = "hue_overlap") -> DataFrame:
+    """(band, n) of verified pairs by how far their hues are apart."""
+    return edges.groupBy(palette_band(F.col(distance)).alias("band")).agg(F.count("*").alias("n"))
+
+
 def same_family_negatives(rows: DataFrame, components: DataFrame, unreviewed: DataFrame) -> DataFrame:
     """(i, j): pairs of one family, not of one component, not awaiting review.  rows: (id, family); components: (id, component); unreviewed: (i, j)."""
     r = rows.join(components, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
@@ -106,6 +140,11 @@ def partners(accepted: DataFrame, audit: DataFrame, manifest: DataFrame) -> Data
     return near.join(first, "image_id", "left").select(F.col("image_id").alias("test_image_id"), F.coalesce("accepted", "nearest").alias("other_image_id"), F.when(F.col("accepted").isNotNull(), "accepted pair").otherwise("nearest train").alias("kind"))
 
 
+def bars_from(reference: DataFrame, guard: str = "main_rank1") -> DataFrame:
+    """(metric, bar) from a reference method's intervals (metric, value, low, high): upper ends to beat, and the guard metric's lower end as ``guard``."""
+    return reference.select(F.when(F.col("metric") == guard, "guard").otherwise(F.col("metric")).alias("metric"), F.when(F.col("metric") == guard, F.col("low")).otherwise(F.col("high")).alias("bar"))
+
+
 def verdict(bars: DataFrame, results: DataFrame) -> DataFrame:
     """(method, n_beaten, guard_ok, verdict): SUCCESS if any metric strictly beats its bar and the guard holds.
 

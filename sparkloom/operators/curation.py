@@ -10,6 +10,7 @@ from sparkloom.functions.strings import export_stem, is_generic, shared_prefix
 from sparkloom.operators.components import connected_components
 from sparkloom.operators.schema import NO_SEED
 from sparkloom.operators.similarity import hamming_pairs, pair_scores
+from sparkloom.plans.shared import written
 
 #: Fixed value: an aligned overlap from which a verified pair shows the same pixels.
 DUP_OVERLAP_MIN, DUP_NCC_MIN = 0.85, 0.95
@@ -32,7 +33,7 @@ def duplicate_groups(rows: DataFrame, most: int = 4, mode: str = "banded") -> Da
 
 def cluster_stats(rows: DataFrame, thresholds: tuple[int, ...] = (0, 2, 4, 6, 8), mode: str = "banded") -> DataFrame:
     """(threshold, n_clusters, n_multi, largest): one pair join at the largest threshold, components at each."""
-    pairs = hamming_pairs(rows, max(thresholds), mode=mode)
+    pairs = written(hamming_pairs(rows, max(thresholds), mode=mode), "pairs")
     out = None
     for t in thresholds:
         sizes = connected_components(pairs.where(F.col("distance") <= t), "i", "j", rows.select("id")).groupBy("component").agg(F.count("*").alias("n"))
@@ -112,6 +113,28 @@ def prefix_constraints(designs: DataFrame, names: DataFrame, cosine_min: float =
     return met.groupBy(F.col("q_id").alias("i"), F.col("g_id").alias("j")).agg(F.max("score").alias("score"), F.max(shared_prefix(F.col("a"), F.col("b"))).alias("shared")).where(F.col("shared") >= least)
 
 
+def split_groups(designs: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(design_id, split_group): designs that a constraint (i, j) links, over any number of links, are one group, named by its smallest."""
+    return connected_components(constraints, "i", "j", designs.select(F.col("design_id").alias("id"))).select(F.col("id").alias("design_id"), F.col("component").alias("split_group"))
+
+
+def assign_grouped_splits(designs: DataFrame, constraints: DataFrame, **more) -> DataFrame:
+    """(design_id, split): as ``assign_splits``, but linked designs never straddle a split.
+
+    designs: (design_id, source, craft_family, forced); constraints: (i, j) of design ids.  Groups are split, with
+    the source and family of their first design; a group with a forced design is forced.
+    """
+    groups = split_groups(designs, constraints)
+    of = designs.join(groups, "design_id").groupBy("split_group").agg(F.min_by("source", "design_id").alias("source"), F.min_by("craft_family", "design_id").alias("craft_family"), F.max("forced").alias("forced"))
+    return groups.join(assign_splits(of.withColumnRenamed("split_group", "design_id"), **more).withColumnRenamed("design_id", "split_group"), "split_group").select("design_id", "split")
+
+
+def straddling(splits: DataFrame, constraints: DataFrame) -> DataFrame:
+    """Constraints (i, j) whose designs sit in different splits."""
+    side = lambda c: splits.select(F.col("design_id").alias(c), F.col("split").alias(f"split_{c}"))
+    return constraints.select("i", "j").join(side("i"), "i").join(side("j"), "j").where("split_i <> split_j")
+
+
 def assign_splits(designs: DataFrame, *, seed: int = 42, val_frac: float = 0.15, test_frac: float = 0.2, per_source_test_frac: dict[str, float] | None = None) -> DataFrame:
     """(design_id, split): quotas within (source, craft_family); forced designs are test and count towards the quota.
 
@@ -199,3 +222,54 @@ def pk_batches(designs: DataFrame, p: int, batches: int, seed: int = 42, epoch:
     d = designs.select("design_id").distinct().withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
     key = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col("batch").cast("string"), "design_id"))
     return d.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy(key))).where(F.col("place") <= p)
+
+
+def palette_groups(batches: DataFrame, palettes: list[str], *, prob: float = 0.3, size: int = 4, seed: int = 42) -> DataFrame:
+    """(batch, design_id, palette_id): in a share of the batches some designs are pinned to one palette, all by hashes of seed and batch.
+
+    batches: (batch, design_id).  Without palettes, or for batches of one design, nothing is pinned.
+    """
+    unit = lambda *parts: F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("bigint")
+    b = F.col("batch").cast("string")
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), F.lit("pick"), b, "design_id")), "design_id"))
+    n = F.count("*").over(Window.partitionBy("batch"))
+    pool = F.array(*[F.lit(p) for p in palettes]).cast("array<string>")
+    chosen = batches.select("batch", "design_id").withColumns({"_k": place, "_n": n}).where((F.col("_n") >= 2) & (F.col("_k") <= size) & (unit(F.lit("draw"), b) < prob * 2.0**32))
+    return chosen.select("batch", "design_id", F.get(pool, (unit(F.lit("palette"), b) % max(len(palettes), 1)).cast("int")).alias("palette_id")).where("palette_id IS NOT NULL")
+
+
+def check_pools(pools: DataFrame) -> DataFrame:
+    """(palette_id, n) of palettes in more than one pool; pools: (pool, palette_id)."""
+    return pools.groupBy("palette_id").agg(F.count_distinct("pool").alias("n")).where("n > 1")
+
+
+def cache_paths(manifest: DataFrame) -> DataFrame:
+    """(path): images that training and its validation read: real train rows and the val gallery, once each."""
+    wanted = (~F.col("is_synthetic") & (F.col("split") == "train")) | ((F.col("split") == "val") & (F.col("role") == "gallery"))
+    return manifest.where(wanted).select("path").distinct()
+
+
+def sampled_pairs(rows: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """(k, i, j): at most n different unordered pairs of rows, in the order of their draw.
+
+    Draw k takes two places by hashes of seed and k, so any part of the sample can be made apart; n draws are
+    made a second time over as spares for those that repeat or hit one row twice.  Few rows give all their pairs.
+    """
+    from sparkloom.operators.schema import with_index
+
+    placed = written(with_index(rows.select(id_col).distinct(), id_col, "place"), "placed")
+    m = placed.count()
+    if m * (m - 1) // 2 <= 2 * n:
+        a, b = placed.select(F.col(id_col).alias("i"), F.col("place").alias("p")), placed.select(F.col(id_col).alias("j"), F.col("place").alias("q"))
+        every = a.join(F.broadcast(b), F.col("p") < F.col("q"))
+        order = Window.orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("p").cast("string"), F.col("q").cast("string"))))
+        return every.withColumn("k", (F.row_number().over(order) - 1).cast("long")).where(F.col("k") < n).select("k", "i", "j")  # 2 n rows at most
+    draw = lambda tag: F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col("id").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    drawn = rows.sparkSession.range(2 * n).select(F.col("id").alias("k"), (draw("a") % m).alias("x"), (draw("b") % (m - 1)).alias("y"))
+    drawn = drawn.withColumn("y", F.when(F.col("y") >= F.col("x"), F.col("y") + 1).otherwise(F.col("y"))).groupBy(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).agg(F.min("k").alias("k")).orderBy("k").limit(n)
+    return drawn.join(placed.select(F.col(id_col).alias("i"), F.col("place").alias("p")), "p").join(placed.select(F.col(id_col).alias("j"), F.col("place").alias("q")), "q").select("k", "i", "j")
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order) of each key at its first place: distinct keys that keep their order."""
+    return rows.groupBy(key).agg(F.min(order).alias(order))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,5 +76,30 @@ def interval(per_group: DataFrame, weights: DataFrame, metrics: list[str], confi
     return long.groupBy("metric").agg(F.expr(f"percentile(value, {alpha})").alias("low"), F.expr(f"percentile(value, {1 - alpha})").alias("high"))
 
 
-def ci_text(value: Column, low: Column, high: Column) -> Column:
-    return F.format_string("%.3f [%.3f, %.3f]", value, low, high)
+def genuine_scores(scores: DataFrame, queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(q_id, q_design, score): each query's best score with the gallery of its own design; minus infinity if the gallery lacks it."""
+    g = gallery.select(F.col("id").alias("g_id"), F.col("design").alias("q_design"))
+    q = queries.select(F.col("id").alias("q_id"), F.col("design").alias("q_design"))
+    own = scores.join(q, "q_id").join(g, ["g_id", "q_design"]).groupBy("q_id").agg(F.max("score").alias("score"))
+    return q.join(own, "q_id", "left").select("q_id", "q_design", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
+
+
+def hits_by_group(genuine: DataFrame, threshold: DataFrame) -> DataFrame:
+    """(grp, n, tar): queries of each design, and how many are accepted at a frozen threshold (one row); what ``interval`` resamples."""
+    met = genuine.join(F.broadcast(threshold.select("threshold").limit(1)))
+    return met.groupBy(F.col("q_design").alias("grp")).agg(F.count("*").alias("n"), F.sum((F.col("score") >= F.col("threshold")).cast("double")).alias("tar"))
+
+
+def real_pair_queries(queries: DataFrame, kind: str = "real_view") -> DataFrame:
+    """Queries of the designs that have one of this kind; queries: (id, design, query_kind)."""
+    return queries.join(queries.where(F.col("query_kind") == kind).select("design").distinct(), "design", "left_semi")
+
+
+def selection_metric(per_kind: DataFrame) -> DataFrame:
+    """(held_out, in_distribution, gap, selected): mean average precision of the kinds that select a model, of the one that doesn't, and the gap.
+
+    per_kind: (kind, map) with kinds heldout, tonal and indist; an absent kind is left out of the mean, and without any the metric is -1.
+    """
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("map")))
+    out = per_kind.agg(of("heldout").alias("held_out"), of("indist").alias("in_distribution"), F.coalesce(F.avg(F.when(F.col("kind").isin("heldout", "tonal"), F.col("map"))), F.lit(-1.0)).alias("selected"))
+    return out.select("held_out", "in_distribution", (F.col("in_distribution") - F.col("held_out")).alias("gap"), "selected")

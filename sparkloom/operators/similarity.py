@@ -160,13 +160,13 @@ def index_plan(rows: int, most: int) -> tuple[int, int, int]:
     return best[1:]
 
 
-def hamming_pairs(rows: DataFrame, most: int, *, mode: str = "banded", bands: int = 4, cap: int | None = None) -> DataFrame:
+def hamming_pairs(rows: DataFrame, most: int, *, mode: str = "banded", bands: int = 4, cap: int | None = None, first: int | None = None) -> DataFrame:
     """Pairs (i < j) of 64-bit hashes with at most ``most`` different bits; rows: (id, h).
 
     banded: pairs that share one of four 16-bit bands, which all pairs of up to 3 bits do.
     exact: multi-index hashing; parts as wide as the number of hashes allows, whose keys are looked up with
     some bits turned, so that an equi-join finds every pair.  cap: buckets of more members are left out
-    (as a parity mode of banded; None keeps all).
+    (as a parity mode of banded; None keeps all).  first: only so many of the bands, for a quick look.
     """
     # Equal hashes are one row in the join; their members come back by the hash.
     same = written(rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")), "hashes")
@@ -174,7 +174,7 @@ def hamming_pairs(rows: DataFrame, most: int, *, mode: str = "banded", bands: in
     edges = [64 * k // parts for k in range(parts + 1)]
 
     def keyed(df: DataFrame, turned: int) -> DataFrame:
-        spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))][:first]
         key = lambda a, b: F.shiftrightunsigned("h", 64 - b).bitwiseAND((1 << (b - a)) - 1 if b - a < 63 else -1)
         each = F.array(*[F.struct(F.lit(k).alias("band"), key(a, b).alias("key")) for k, a, b in spans])
         out = df.select("h", "n", F.explode(each).alias("k")).select("h", "n", "k.band", "k.key")
@@ -196,3 +196,29 @@ def hamming_pairs(rows: DataFrame, most: int, *, mode: str = "banded", bands: in
     a, b = rows.select(F.col("id").alias("x"), F.col("h").alias("h1")), rows.select(F.col("id").alias("y"), F.col("h").alias("h2"))
     pairs = near.join(a, "h1").join(b, "h2").where((F.col("h1") != F.col("h2")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), hamming("h1", "h2").alias("distance"))
+
+
+def nearest_hash(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(id, nearest, distance, variant): of each query's hashes (id, hs) and all gallery hashes (id, h) the closest pair; of equals the first variant, then the smallest id.
+
+    Bits as signs make it a nearest neighbour by cosine, which the grid finds without joining all rows.
+    """
+    from sparkloom.functions.vectors import bits_to_signs
+
+    turned = queries.select("id", F.posexplode("hs").alias("variant", "h")).where(F.col("h").isNotNull()).select(F.concat_ws("|", F.col("id").cast("string"), F.col("variant").cast("string")).alias("key"), "id", "variant", "h")
+    named = gallery.where(F.col("h").isNotNull()).groupBy("h").agg(F.min("id").alias("g"))  # equal hashes are one row
+    kind = dict(named.dtypes)["g"]
+    key = lambda df, c: df.select(F.col(c).cast("string").alias("id"), bits_to_signs("h").alias("vec"))
+    width = 20  # ids as text must sort as the ids do
+    found = top_k(key(turned, "key"), named.select((F.lpad(F.col("g").cast("string"), width, "0") if kind != "string" else F.col("g")).alias("id"), bits_to_signs("h").alias("vec")), 1, id_type="string")
+    met = found.join(turned.select(F.col("key").alias("q_id"), "id", "variant"), "q_id").select("id", "variant", F.col("g_id").cast(kind).alias("nearest"), F.rint((1 - F.col("score")) * 32).cast("int").alias("distance"))
+    return met.groupBy("id").agg(F.min(F.struct("distance", "variant", "nearest")).alias("b")).select("id", "b.nearest", "b.distance", "b.variant")
+
+
+def group_distances(rows: DataFrame, group: str, *keep: str) -> DataFrame:
+    """(keep..., distance, n_pairs) of the pairs inside groups; rows: (group, h, keep...).  Equal hashes of a group are counted, not paired."""
+    n = rows.groupBy(group, *keep, "h").agg(F.count("*").alias("n"))
+    a, b = n.select(group, *keep, F.col("h").alias("h1"), F.col("n").alias("n1")), n.select(group, *keep, F.col("h").alias("h2"), F.col("n").alias("n2"))
+    other = a.join(b, [group, *keep]).where("h1 < h2").select(*keep, hamming("h1", "h2").alias("distance"), (F.col("n1") * F.col("n2")).alias("n_pairs"))
+    same = n.where("n > 1").select(*keep, F.lit(0).alias("distance"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"))
+    return other.unionByName(same).groupBy(*keep, "distance").agg(F.sum("n_pairs").alias("n_pairs"))

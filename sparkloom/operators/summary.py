@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.strings import depth, suffix
+from sparkloom.functions.strings import depth, file_stem, suffix
 
 
 def split_summary(df: DataFrame) -> DataFrame:
@@ -62,3 +62,31 @@ def order_stat(df: DataFrame, value: str, shares: tuple[float, ...], *by: str) -
 
 def depths(df: DataFrame, path: str = "path") -> DataFrame:
     return df.groupBy(depth(F.col(path)).alias("depth")).agg(F.count("*").alias("n"))
+
+
+def group_sizes(df: DataFrame, group: str) -> DataFrame:
+    """(group, n, min, median and max of the longest side, median bytes); df: (group, width, height, length)."""
+    side = F.greatest("width", "height")
+    return df.groupBy(group).agg(F.count("*").alias("n"), F.min(side).alias("side_min"), F.median(side).alias("side_median"), F.max(side).alias("side_max"), F.median("length").alias("bytes_median"))
+
+
+def shared_ids(df: DataFrame, first: str, second: str, path: str = "path") -> DataFrame:
+    """(id) of stems that occur both as ``<first><id>`` and as ``<second><id>``."""
+    stem = file_stem(F.col(path))
+    of = lambda p: df.where(F.startswith(stem, F.lit(p))).select(F.substring(stem, len(p) + 1, 1 << 30).alias("id"))
+    return of(first).intersect(of(second))
+
+
+def build_counts(manifest: DataFrame, constraints: DataFrame) -> DataFrame:
+    """(name, n) of what a build is recognised by: designs, designs of several views and duplicate groups by source, constraints, synthetic rows, train designs."""
+    real = manifest.where(~F.col("is_synthetic"))
+    per = real.groupBy("source", "design_id").agg(F.count_distinct("dup_group").alias("v"))
+    out = per.groupBy("source").agg(F.count("*").alias("designs"), F.count_if(F.col("v") > 1).alias("multi")).join(real.groupBy("source").agg(F.count_distinct("dup_group").alias("groups")), "source")
+    each = out.select(F.explode(F.array(*[F.struct(F.concat("source", F.lit(f".{k}")).alias("name"), F.col(k).alias("n")) for k in ("designs", "multi", "groups")])).alias("c")).select("c.*")
+    one = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return each.unionByName(one(constraints, "constraining_pairs")).unionByName(one(manifest.where("is_synthetic"), "synthetic")).unionByName(one(real.where("split = 'train'").select("design_id").distinct(), "train_designs"))
+
+
+def count_mismatches(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, n, expected) of counts (name, n) that differ from the expected ones, absent ones as null."""
+    return counts.join(expected.select("name", F.col("n").alias("expected")), "name", "full").where(~F.col("n").eqNullSafe(F.col("expected")))
