@@ -12,25 +12,21 @@ from pyspark.sql import functions as F
 from sparkloom.llm import textkit
 
 
-def map_text(df: DataFrame, id_col: str, text_col: str, make: Callable[[pa.Array, pa.Array, textkit.Slice], dict | None], schema: str, *more: str, done: Callable[[], None] | None = None) -> DataFrame:
+def map_text(df: DataFrame, id_col: str, text_col: str, make: Callable[[pa.Array, pa.Array, textkit.Slice], dict | None], schema: str, *more: str) -> DataFrame:
     """Maps documents to rows.
 
     make gets the ids, the texts and the word kernel of one slice (and, as arrays, the columns
     in more) and returns columns by name.  Only the columns asked for leave the JVM; text of a
-    row is never split over slices.  done runs at a task's end, to free what make keeps.
+    row is never split over slices.
     """
     fields = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for b in batches:
-                for i, j, s in textkit.slices(b.column(1)):
-                    out = make(b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), s, *[b.column(2 + k).slice(i, j - i) for k in range(len(more))])
-                    if out is not None:
-                        yield pa.RecordBatch.from_arrays([out[f] if isinstance(out[f], pa.Array) else pa.array(out[f]) for f in fields], names=fields)
-        finally:
-            if done:
-                done()
+        for b in batches:
+            for i, j, s in textkit.slices(b.column(1)):
+                out = make(b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), s, *[b.column(2 + k).slice(i, j - i) for k in range(len(more))])
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([out[f] if isinstance(out[f], pa.Array) else pa.array(out[f]) for f in fields], names=fields)
 
     # Under other names, so that columns with clashing names can't disturb.
     return df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(more)]).mapInArrow(run, schema)

@@ -4,14 +4,15 @@ The model protobuf is read here (pieces, scores, types, normaliser, flags) and
 rebuilt as a ``tokenizers`` BPE or Unigram model: precompiled character map, dummy
 prefix, space marker, byte fallback; BPE merges follow from the scores.
 
-The ids of a text are those of the tokenizers library, which encodes whole batches on
-``THREADS`` threads, and its decoder writes them back.  ``encode`` holds every text
-against the sentencepiece library as well: ``parity`` says whether both give the same ids.
-
 No piece of the usual models holds the marker after its first letters, so no token
-crosses a space before which there is none; texts longer than ``PART`` characters are cut
-there, and memory stays that of some parts however long a text is.  Models with other
-pieces or their own normaliser are encoded whole.  The rebuilt model is freed at a task's end.
+crosses a space before which there is none, and a text falls into segments at these
+spaces.  The tokenizers library encodes each segment once, in batches on ``THREADS``
+threads; texts are put together from the segments' ids as whole arrays.  ``encode`` holds
+each segment against the sentencepiece library and decodes it again: ``parity`` says
+whether both libraries agree on all of a text, whose ids are those of the tokenizers
+library in any case.  A worker keeps at most ``CACHE_BYTES`` of segments, found again by a
+64-bit hash, and frees them with the model at a task's end.  Models with other pieces or
+their own normaliser are encoded text by text.
 
 Defined cases: a null or empty text has no ids; ``round_trip`` says whether decoding
 gives the normalised text again, which is the text itself for a model with the identity
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkloom.llm import textkit
-from sparkloom.llm.arrowmap import map_text, strings
 
 MARK = "▁"
-#: Characters of a text encoded at once; ids decoded at once; threads of an encoding batch.
-PART, DECODED, THREADS = 1 << 17, 1 << 16, 2
+#: Bytes of segments that a worker keeps; segments encoded, and ids decoded, at once; threads of an encoding batch.
+CACHE_BYTES, BATCH, DECODED, THREADS = 40 << 20, 4096, 1 << 16, 2
+#: The marker's bytes.
+_MARK = np.frombuffer(MARK.encode(), np.uint8)
 # Fixed values of the model format: field numbers, piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -94,7 +96,7 @@ class Model:
         self.plain = not self.charsmap and not self.squeeze and self.escape
         words = [p for p, _, t in self.pieces if t in (NORMAL, USER)]
         #: Whether the marker only begins pieces, so that a text may be cut at a space.
-        self.cuts = self.plain and not any(MARK in p.lstrip(MARK) for p in words)
+        self.cuts = self.plain and MARK in words and not any(MARK in p.lstrip(MARK) for p in words)
 
     def merges(self) -> list[tuple[str, str]]:
         """All ways to join two pieces to a third, best score first.
@@ -124,6 +126,40 @@ class Model:
         return t
 
 
+class Segments:
+    """Known segments: sorted hashes, and each one's ids, whether both libraries agree on it, and whether it decodes again."""
+
+    def __init__(self):
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.same, self.back = np.zeros(0, bool), np.zeros(0, bool)
+        self.flat, self.used = np.zeros(1 << 12, np.int32), 0
+
+    def bytes(self) -> int:
+        return 4 * self.used + 34 * len(self.keys)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of hashes, -1 for those not known."""
+        at = np.searchsorted(self.keys, keys)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == keys[hit]
+        out = np.full(len(keys), -1)
+        out[hit] = self.row[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[list[int]], same: np.ndarray, back: np.ndarray) -> None:
+        size = np.array([len(x) for x in ids], np.int64)
+        total, first = int(size.sum()), len(self.size)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.start = np.append(self.start, self.used + np.cumsum(size) - size)
+        self.used += total
+        self.size, self.same, self.back = np.append(self.size, size), np.append(self.same, same), np.append(self.back, back)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.row = np.insert(self.keys, at, keys), np.insert(self.row, at, np.arange(first, first + len(keys)))
+
+
 class Codec:
     """Encodes and decodes batches of texts in one worker."""
 
@@ -135,6 +171,7 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.control = frozenset(i for i, (_, _, t) in enumerate(self.model.pieces) if t == CONTROL)
         self.marked = frozenset(i for i, (p, _, t) in enumerate(self.model.pieces) if t in (NORMAL, USER) and p.startswith(MARK))
+        self.known, self.checked = Segments(), True
 
     @functools.cached_property
     def library(self):
@@ -142,57 +179,98 @@ class Codec:
 
         return sentencepiece.SentencePieceProcessor(model_proto=self.model.data)
 
-    def parts(self, text: str) -> list[str]:
-        """A long text's parts: between two, a space is left out, which the dummy prefix stands for, or begins the second."""
-        if len(text) <= PART or not self.model.cuts:
-            return [text] if text else []
-        out, a = [], 0
-        while a < len(text):
-            z = text.find(" ", a + PART)
-            while 0 < z < len(text) and text[z - 1] in (" ", MARK):
-                z = text.find(" ", z + 1)
-            if z < 0 or z + 1 >= len(text):
-                z = len(text)
-            out.append(text[a:z])
-            a = z + self.model.prefix if z < len(text) else z
-        return out
-
-    def ids(self, parts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[list[int]]:
         """The tokenizers library's ids."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def theirs(self, parts: list[str]) -> list[list[int]]:
+    def theirs(self, texts: list[str]) -> list[list[int]]:
         """The sentencepiece library's ids."""
-        return self.library.encode(parts, num_threads=1)
+        return self.library.encode(texts, num_threads=1)
 
-    def plain(self, part: str) -> str:
-        """What a part's ids should decode to."""
+    def plain(self, text: str) -> str:
+        """What a text's ids should decode to."""
         if not self.model.plain:
-            part = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
-            part = part[1:] if self.model.prefix and part[:1] in (MARK, " ") else part
-        return part.replace(MARK, " ")
+            text = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+            text = text[1:] if self.model.prefix and text[:1] in (MARK, " ") else text
+        return text.replace(MARK, " ")
 
-    def encode(self, texts: list[str], check: bool = True) -> tuple[pa.ListArray, list[bool], list[bool]]:
-        """Ids of each text; if asked for, whether both libraries agree on it, and whether the ids decode to the normalised text."""
-        cut = [self.parts(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        bounds = np.cumsum([0, *map(len, cut)]).tolist()
-        ids = self.ids(flat)
-        off = np.cumsum([0, *map(len, ids)])[bounds].astype(np.int32)
-        found = pa.ListArray.from_arrays(pa.array(off), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(off[-1]))))
+    def _new(self, texts: list[str], check: bool) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        ids = self.ids(texts)
         if not check:
-            return found, [], []
-        same = [a == b for a, b in zip(ids, self.theirs(flat), strict=True)]
-        back = [a == self.plain(p) for a, p in zip(self.decode_batch(ids), flat, strict=True)]
-        spans = list(zip(bounds, bounds[1:], strict=False))
-        return found, [all(same[a:z]) for a, z in spans], [all(back[a:z]) for a, z in spans]
+            return ids, np.ones(len(ids), bool), np.ones(len(ids), bool)
+        same = np.array([a == b for a, b in zip(ids, self.theirs(texts), strict=True)], bool)
+        return ids, same, np.array([a == self.plain(t) for a, t in zip(self.decode_batch(ids), texts, strict=True)], bool)
+
+    def _rows(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, check: bool) -> np.ndarray:
+        """Rows of segments; new ones are learned."""
+        keys, first, of = np.unique(textkit.hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        rows = self.known.rows(keys)
+        if not (rows < 0).any():
+            return rows[of]
+        if self.known.bytes() > CACHE_BYTES:
+            self.known = Segments()
+            rows[:] = -1
+        new = np.flatnonzero(rows < 0)
+        # The space that begins a segment is the one the dummy prefix stands for.
+        texts = [buf[a:b].tobytes().decode() for a, b in zip((starts[first[new]] + self.model.prefix).tolist(), ends[first[new]].tolist(), strict=True)]
+        for k in range(0, len(new), BATCH):
+            self.known.add(keys[new[k : k + BATCH]], *self._new(texts[k : k + BATCH], check))
+        return self.known.rows(keys)[of]
+
+    def encode_bytes(self, buf: np.ndarray, off: np.ndarray, check: bool = True) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+        """As ``encode``, of UTF-8 texts one behind the other."""
+        if check and not self.checked:
+            self.known = Segments()
+        self.checked = check
+        if self.model.prefix:  # each text begins with a space more
+            some = off[1:] > off[:-1]
+            buf = np.insert(buf, off[:-1][some], 0x20)
+            off = off + np.append(0, np.cumsum(some))
+        space = buf == 0x20
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        if len(buf) > 3:  # a written marker is a space to the model
+            start[3:] &= ~((buf[:-3] == _MARK[0]) & (buf[1:-2] == _MARK[1]) & (buf[2:-1] == _MARK[2]))
+        if self.model.prefix:  # a text's last space alone would be nothing behind a dummy prefix
+            start[off[1:][some] - 1] &= buf[off[1:][some] - 1] != 0x20
+        start[off[:-1][off[1:] > off[:-1]]] = True
+        starts = np.flatnonzero(start)
+        bounds, sizes, same, back, flat = np.append(starts, len(buf)), [], [], [], []
+        k = 0
+        while k < len(starts):
+            z = max(k + 1, int(np.searchsorted(bounds, bounds[k] + textkit.SLICE_BYTES, side="right")) - 1)
+            low = int(bounds[k])
+            rows = self._rows(buf[low : int(bounds[z])], starts[k:z] - low, bounds[k + 1 : z + 1] - low, check)
+            size = self.known.size[rows]
+            before = np.cumsum(size) - size
+            flat.append(self.known.flat[np.repeat(self.known.start[rows] - before, size) + np.arange(int(size.sum()))])
+            sizes.append(size)
+            same.append(self.known.same[rows])
+            back.append(self.known.back[rows])
+            k = z
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        at = np.searchsorted(starts, off)
+        ends = textkit.prefix(join(sizes, np.int64))
+        found = pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(join(flat, np.int32)))
+        bad = lambda parts: np.diff(textkit.prefix((~join(parts, bool)).astype(np.int64))[at]) == 0
+        return found, bad(same), bad(back)
+
+    def encode(self, texts: list[str], check: bool = True) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+        """Ids of each text; if asked for, whether both libraries agree on it, and whether the ids decode to the normalised text."""
+        if self.model.cuts:
+            raw = [t.encode() for t in texts]
+            return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), check)
+        ids, same, back = self._new(texts, check)
+        off = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(off[-1])))), same, back
 
     def decode_batch(self, lists: list[list[int]]) -> list[str]:
         """Texts of lists of ids, long lists cut before a piece that begins with the marker."""
+        if max(map(len, lists), default=0) <= DECODED and self.control.isdisjoint(chain.from_iterable(lists)):
+            return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
         pieces, of = [], []
         for k, ids in enumerate(lists):
-            if not self.control.isdisjoint(ids):
-                ids = [i for i in ids if i not in self.control]
+            ids = [i for i in ids if i not in self.control]
             a = 0
             while a < len(ids):
                 z = a + DECODED
@@ -238,15 +316,28 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _batches(held: Held, column: pa.Array, check: bool) -> Iterator[tuple[int, int, tuple]]:
+    """The slices of a column, encoded."""
+    for i, j, buf, off in textkit.raw_slices(column):
+        c = held.get()
+        yield i, j, c.encode_bytes(buf, off, check) if c.model.cuts else c.encode([buf[a:b].tobytes().decode() for a, b in zip(off, off[1:], strict=False)], check)
+
+
 def encode(docs: DataFrame, data: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ids, parity with the sentencepiece library, round_trip."""
+    from pyspark.sql import functions as F
+
     held = Held(data)
 
-    def make(ids, texts, s):
-        found, parity, back = held.get().encode(strings(texts))
-        return {id_col: ids, "ids": found, "parity": pa.array(parity, pa.bool_()), "round_trip": pa.array(back, pa.bool_())}
+    def run(batches):
+        try:
+            for b in batches:
+                for i, j, (found, parity, back) in _batches(held, b.column(1), True):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), found, pa.array(parity, pa.bool_()), pa.array(back, pa.bool_())], names=[id_col, "ids", "parity", "round_trip"])
+        finally:
+            held.free()
 
-    return map_text(docs, id_col, text_col, make, f"{id_col} long, ids array<int>, parity boolean, round_trip boolean", done=held.free)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} long, ids array<int>, parity boolean, round_trip boolean")
 
 
 def with_ids(docs: DataFrame, data: bytes, *, text_col: str = "text", to: str = "token_ids") -> DataFrame:
@@ -260,9 +351,8 @@ def with_ids(docs: DataFrame, data: bytes, *, text_col: str = "text", to: str =
     def run(batches):
         try:
             for b in batches:
-                for i, j in textkit.cuts(b.column(at)):
+                for i, j, (found, _, _) in _batches(held, b.column(at), False):
                     part = b.slice(i, j - i)
-                    found = held.get().encode(strings(part.column(at)), check=False)[0]
                     yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, to])
         finally:
             held.free()

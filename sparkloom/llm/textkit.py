@@ -65,6 +65,13 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """Hashes of byte ranges of a buffer."""
+    base, n = _BASES[family], len(buf)
+    sums = prefix(_TABLES[family][buf] * powers(base, n + 1)[:n])
+    return mix((sums[ends] - sums[starts]) * powers(base, n + 1, True)[starts] + (ends - starts).astype(np.uint64))
+
+
 class Slice:
     """Some documents' bytes: buf, and where each starts (off, one more than documents)."""
 
@@ -139,10 +146,9 @@ def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
     tidy()
 
 
-def cuts(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
-    """Where ``slices`` cuts, without the word kernel."""
-    for i, j, _, _ in _cut(column, most or SLICE_BYTES):
-        yield i, j
+def raw_slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same slices as bytes and the documents' offsets in them, without the word kernel."""
+    yield from _cut(column, most or SLICE_BYTES)
     tidy()
 
 
@@ -190,6 +196,9 @@ def repeated(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """\\n-split lines that hold a word: document, first byte, one past the last byte."""
+    if not len(s.buf):
+        none = np.zeros(0, np.int64)
+        return none, none, none
     breaks = np.flatnonzero(s.buf == 0x0A)
     # A document's edge ends a line as well; an empty document gives none with a word.
     starts = np.union1d(s.off[:-1], breaks + 1)
