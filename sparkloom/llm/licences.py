@@ -1,10 +1,12 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Segments of a text that can state a licence (each line with a cue, each paragraph with
-one, and the whole text) become sparse term vectors, term counts weighted by inverse
-frequency over the templates; words that no template has count with the highest weight,
-so prose around a statement lowers the cosine.  The best template of a segment from 0.6
-is a finding; a file's licence is its best finding.  A file whose whole text is a finding,
+Templates are identifier lines, statements, headers and bodies of common licences
+(``licence_texts``).  Segments of a text that can state a licence (each line with a cue,
+each paragraph with one, and the whole text) become sparse term vectors, term counts
+weighted by inverse frequency over the templates; words that no template has count with
+the highest weight, so prose around a statement lowers the cosine.  The best template of a
+segment from 0.6 is a finding; a file's licence is that of its widest segment with a
+finding (a body of several paragraphs says more than one of them), of equals the best.  A file whose whole text is a finding,
 or whose name says so (LICENSE, COPYING, ...), is a licence file and covers its directory:
 files without a finding take the licence of the nearest ancestor directory that has one.
 
@@ -12,8 +14,7 @@ Only DataFrame operations; no Python runs on executors.
 
 Defined cases: null or empty texts have no finding (but inherit); a null path has no
 directory; rows with a null id are returned without a licence of their own; rows with equal
-ids share their findings; ties go to the whole text, then the paragraph, then the template
-first by name; of several licence files of a directory the best counts, then the first
+ids share their findings; ties go to the template first by name; of several licence files of a directory the best counts, then the first
 by name; further columns are ignored.
 """
 
@@ -24,42 +25,17 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.licence_texts import TEMPLATES
 from sparkloom.plans.shared import join_by_size, written
 
 LEAST_COSINE = 0.6
 #: Directories with a licence up to which the list is broadcast, by count.
 MAX_BROADCAST_DIRS = 200_000
 
-# What a segment must hold, the names of licence files, and the templates.
-CUES = ("licen", "copyright", "spdx", "redistribut", "public domain", "permission is hereby")
+# Of these a segment must hold one to count as a statement (every template does); the names of licence files.
+CUES = ("licen", "copyright", "spdx", "redistribut", "public domain", "permission", "warrant", "gpl", "cc by", "cc0", "creative commons", "neither the name")
 FILE_NAMES = "licen[cs]e|copying|unlicense|notice|copyright"
 TERM = "[a-z]+|[0-9]+(?:\\.[0-9]+)*"
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("Apache-2.0", "SPDX License Identifier Apache 2.0"),
-    ("BSD-2-Clause", "Released under the BSD 2 Clause License"),
-    ("BSD-3-Clause", "Released under the BSD 3 Clause License"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD style license that can be found in the LICENSE file"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY NC 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY SA 4.0"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("ISC", "Released under the ISC License"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("MIT", "SPDX License Identifier MIT"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-)
 
 
 def weights(templates=TEMPLATES) -> tuple[list[tuple[str, float]], list[tuple[int, str, str, float]], float]:
@@ -121,7 +97,7 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     """Per row: id, path, licence, cosine, origin (declared, inherited or null), licences (all that are found in it)."""
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     found = findings(rows.select("id", "text"), templates, least)
-    own = found.groupBy("id").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "kind", "licence")).alias("b"), F.sort_array(F.collect_set("licence")).alias("licences"), (F.min("kind") == 0).alias("whole"))
+    own = found.groupBy("id").agg(F.min_by(F.struct("licence", "cosine"), F.struct("kind", -F.col("cosine"), "licence")).alias("b"), F.sort_array(F.collect_set("licence")).alias("licences"), (F.min("kind") == 0).alias("whole"))
     own = written(own.select("id", "b.licence", "b.cosine", "licences", "whole"), "licences")
     names = rows.select("id", "path")
     files_of = names.join(own, "id", "left")

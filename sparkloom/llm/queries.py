@@ -128,7 +128,7 @@ norms AS (SELECT doc_id, seg, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dots AS (SELECT doc_id, kind, seg, template, licence, sum(w * unit) AS dot FROM w JOIN units USING (term) GROUP BY ALL),
 s AS (SELECT doc_id, kind, seg, licence, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, seg) WHERE round(dot / norm, 6) >= {m.LEAST_COSINE}),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, seg ORDER BY cosine DESC, licence) = 1),
-own AS (SELECT doc_id, arg_min(licence, (-cosine, kind, licence)) AS licence, max(cosine) AS cosine, array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences, min(kind) = 0 AS whole FROM b GROUP BY doc_id),
+own AS (SELECT doc_id, arg_min(licence, (kind, -cosine, licence)) AS licence, arg_min(cosine, (kind, -cosine, licence)) AS cosine, array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences, min(kind) = 0 AS whole FROM b GROUP BY doc_id),
 ff AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, licence, cosine, licences, whole FROM f LEFT JOIN own USING (doc_id)),
 covers AS (SELECT dir AS root, arg_min(licence, (-cosine, path, licence)) AS inherited FROM ff WHERE whole OR (licence IS NOT NULL AND regexp_matches(lower(regexp_extract(path, '[^/]*$', 0)), '^(?:{m.FILE_NAMES})(?:[._-].*)?$')) GROUP BY dir),
 near AS (SELECT dir, arg_max(inherited, length(root)) AS inherited FROM (SELECT DISTINCT dir FROM ff) d JOIN covers ON root = '' OR dir = root OR starts_with(dir, root || '/') GROUP BY dir)

@@ -106,5 +106,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, *,
         return {"id": ids, "y": y} | {f"x{k}": m[:, k] for k in range(m.shape[1])}
 
     schema = "id long, y int, " + ", ".join(f"x{k} double" for k in range(len(NAMES)))
-    t = map_text(d, "__id", "__text", make, schema, "__y").toPandas().sort_values(["id", "y"], kind="stable")
-    return t[[f"x{k}" for k in range(len(NAMES))]].to_numpy(np.float64).reshape(-1, len(NAMES)), t["y"].to_numpy(np.int64)
+    # Rows with equal ids are one: of their statistics the smallest, so no more than ``most`` rows return.
+    x = [f"x{k}" for k in range(len(NAMES))]
+    one = map_text(d, "__id", "__text", make, schema, "__y").groupBy("id", "y").agg(F.min(F.struct(*x)).alias("x")).select("id", "y", "x.*")
+    t = one.toPandas().sort_values(["id", "y"], kind="stable")
+    return t[x].to_numpy(np.float64).reshape(-1, len(NAMES)), t["y"].to_numpy(np.int64)

@@ -2,10 +2,14 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import json
+import math
+import os
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -247,9 +251,66 @@ def test_quality(spark):
     assert quality.score(df.limit(0), quality.fit(df.limit(0), labels)).count() == 0
 
 
-def test_training_leaves_its_fold_out(spark):
-    import zlib
+def brute_stats(text):
+    """The statistics of a text, in the order of stats.NAMES, from plain lists."""
+    text = text or ""
+    w = WORD.findall(text)
+    size = [len(x) for x in w]
+    n, chars = max(len(w), 1), max(len(text), 1)
+    mean = sum(size) / n
+    of = lambda low, high: sum(low <= c <= high for c in text)
+    upper, lower, digits = of("A", "Z"), of("a", "z"), of("0", "9")
+    windows = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    covered = {k + j for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return [
+        math.log1p(len(w)), math.log1p(len(text)), mean, math.sqrt(max(sum(x * x for x in size) / n - mean * mean, 0)), sum(c in "#*$%&|<>" for c in text) / n, text.count("|") / n, upper / max(upper + lower, 1), digits / chars, text.count("!") / n,
+        sum(c in ".,;:?" for c in text) / n, sum(c >= "\x80" for c in text) / chars, sum(x <= 3 for x in size) / n, 1 - (len(w) - len(set(w))) / n, len(covered) / n, (len(lines) - len(set(lines))) / max(len(lines), 1), len(lines) / n, 1 - sum(size) / chars, math.log1p(max(size, default=0)),
+    ]
+
 
+def test_statistics_against_plain_lists():
+    rng = np.random.default_rng(9)
+    texts = [t for _, t in ODD] + ["".join(rng.choice(list("ab Ab1.,!|#é漢\n\t  "), int(n))) for n in rng.integers(0, 400, 80)] + ["a b c d e a b c d e", "x\nx\n\ny\nx"]
+    want = np.array([brute_stats(t) for t in texts])
+    for most in (1, 300, 1 << 18):
+        got = np.concatenate([stats.matrix(stats.counts(s)) for _, _, s in textkit.slices(pa.array(texts), most)])
+        assert np.allclose(got, want, atol=1e-9), stats.NAMES[int(np.abs(got - want).max(0).argmax())]
+
+
+def test_discriminant_against_densities(spark):
+    """Scores from the two classes' normal densities, by solving with full covariances."""
+    docs, labels = corpus(spark)
+    df = frame(spark, docs)
+    x, y = stats.training_rows(df, labels, "quality", 10_000, but=(3, 1))
+    model = quality.fit(df, labels)
+    shape = lambda m: np.array([[v if k in ("n_words", "n_chars", "longest_word") else math.sqrt(max(v, 0)) for k, v in zip(stats.NAMES, r, strict=True)] for r in m])
+    t = shape(x)
+    mid, spread = t.mean(0), np.maximum(t.std(0), 1e-6)
+    z = (t - mid) / spread
+    cov = {c: np.cov(z[y == c].T, bias=True) for c in (0, 1)}
+    pooled = sum((y == c).mean() * cov[c] for c in (0, 1))
+    test = np.array([brute_stats(t) for _, t in docs])
+    margin = []
+    for r in (shape(test) - mid) / spread:
+        density = []
+        for c in (0, 1):
+            s = (1 - quality.SHRINK_POOLED - quality.SHRINK_IDENTITY) * cov[c] + quality.SHRINK_POOLED * pooled + quality.SHRINK_IDENTITY * np.eye(len(mid))
+            d = r - z[y == c].mean(0)
+            density.append(-0.5 * (d @ np.linalg.solve(s, d) + np.linalg.slogdet(s)[1]))
+        margin.append(math.asinh(density[1] - density[0]))
+    want = 1 / (1 + np.exp(-(model.slope * np.array(margin) + model.offset)))
+    got = {r["doc_id"]: r["score"] for r in rows(quality.score(df, model))}
+    assert np.allclose([got[d] for d, _ in docs], want, atol=1e-7) and model.slope > 0
+
+
+def test_repeated_ids_are_one_training_row(spark):
+    docs, labels = corpus(spark, 60)
+    once, again = (stats.training_rows(frame(spark, x), labels, "quality", 10_000) for x in (docs, docs + docs[:20] * 5))
+    assert all((a == b).all() for a, b in zip(once, again, strict=True)) and len(stats.training_rows(frame(spark, docs * 3), labels, "quality", 25)[1]) == 25
+
+
+def test_training_leaves_its_fold_out(spark):
     docs, labels = corpus(spark, 60)
     m, y = stats.training_rows(frame(spark, docs), labels, "quality", 10_000, but=(3, 1))
     assert len(y) == sum(zlib.crc32(str(d).encode()) % 3 != 1 for d, _ in docs)
@@ -283,6 +344,27 @@ def test_rules(spark):
     assert np.mean([r["kept"] == bool(truth[r["doc_id"]]) for r in got if r["doc_id"] in truth]) > 0.97
 
 
+def test_trees_against_a_walk(spark):
+    """Node arrays score as a walk from node to node does; the verdict is the base rule's and the trees'."""
+    docs, labels = corpus(spark)
+    df = frame(spark, docs + [(1000 + k, t) for k, (_, t) in enumerate(ODD)])
+    t = boosted.fit(df, labels)
+
+    def walk(x, at):
+        while t.feature[at] >= 0:
+            at = t.left[at] + int(x[t.feature[at]] > t.threshold[at])
+        return t.value[at]
+
+    for r in rows(boosted.judge(df, t)):
+        text = dict(docs + [(1000 + k, x) for k, (_, x) in enumerate(ODD)])[r["doc_id"]]
+        x = np.array(brute_stats(text))
+        p = 1 / (1 + math.exp(-(t.bias + sum(walk(x, root) for root in t.roots))))
+        assert abs(p - r["score"]) < 1e-6
+        assert r["kept"] is (not r["base_failed"] and r["score"] >= 0.5)
+    assert boosted.judge(df.limit(0), t).count() == 0
+    assert {r["score"] for r in rows(boosted.judge(df, boosted.fit(df.limit(0), labels)))} == {0.5}
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(2)
     m = rng.random((2000, len(stats.NAMES)))
@@ -442,29 +524,34 @@ def test_pieces(spark, model):
     assert pieces.encode(frame(spark, []), model).count() == 0
 
 
-def test_pieces_in_parts(model, monkeypatch):
-    """Cut texts and cut ids give what whole ones give."""
-    whole, cut = pieces.Codec(model), pieces.Codec(model)
-    texts = [t or "" for t in TEXTS] + ["  ".join(words(400)) + " ", " ▁ ▁▁  a", " " * 50, "a" * 99 + " "]
-    ids, parity, back = whole.encode(texts)
-    for part, decoded in ((1, 1), (7, 2), (40, 9)):
-        monkeypatch.setattr(pieces, "PART", part)
-        monkeypatch.setattr(pieces, "DECODED", decoded)
-        assert any(len(cut.parts(t)) > 2 for t in texts)
-        other, agree, again = cut.encode(texts)
-        assert other.equals(ids) and agree == parity and again == back and all(parity)
-        assert cut.decode_batch(ids.to_pylist()) == [t.replace("▁", " ") for t in texts]
-    assert whole.decode([1, 2]) == ""
+def test_pieces_in_segments(model, monkeypatch):
+    """Texts put together from segments have the ids of whole texts, however small slices, cache and batches are."""
+    lib = pieces.Codec(model).library
+    rng = np.random.default_rng(3)
+    texts = [t or "" for t in TEXTS] + ["  ".join(words(400)) + " ", " ▁ ▁▁  a", " " * 50, "a" * 99 + " ", "▁", " ▁", "a▁ b", "x\n y"]
+    texts += ["".join(rng.choice(list("ab ▁\né漢.<"), 30)) for _ in range(200)]
+    for slice_bytes, cache, batch in ((1 << 18, 1 << 20, 4096), (7, 1 << 20, 3), (64, 100, 2)):
+        monkeypatch.setattr(textkit, "SLICE_BYTES", slice_bytes)
+        monkeypatch.setattr(pieces, "CACHE_BYTES", cache)
+        monkeypatch.setattr(pieces, "BATCH", batch)
+        c = pieces.Codec(model)
+        ids, parity, back = c.encode(texts)
+        assert ids.to_pylist() == [lib.encode(t) for t in texts] == c.ids(texts) and parity.all() and back.all()
+        assert c.encode(texts, check=False)[0].equals(ids)
+        assert c.decode_batch(ids.to_pylist()) == [t.replace("▁", " ") for t in texts]
+    assert c.decode([1, 2]) == "" and c.encode([])[0].to_pylist() == [] and c.known.bytes() < 10_000
+    monkeypatch.setattr(pieces, "DECODED", 2)
+    assert c.decode_batch(ids.to_pylist()) == [t.replace("▁", " ") for t in texts]
 
 
 def test_pieces_parity_is_a_check(model):
     """Where the libraries differ, the ids stay those of the tokenizers library and parity says so."""
-    c = pieces.Codec(model)
-    texts = ["all the words", "other things", ""]
+    c, d = pieces.Codec(model), pieces.Codec(model)
+    texts = ["all the words", "some other things", "", "other"]
     want = c.encode(texts)[0]
-    c.theirs = lambda parts: [[5] if "other" in p else c.library.encode(p) for p in parts]
-    ids, parity, back = c.encode(texts)
-    assert ids.equals(want) and parity == [True, False, True] and all(back)
+    d.theirs = lambda parts: [[5] if "other" in p else d.library.encode(p) for p in parts]
+    ids, parity, back = d.encode(texts)
+    assert ids.equals(want) and parity.tolist() == [True, False, True, False] and back.all()
 
 
 def unigram(fallback: bool, squeeze: bool = False) -> bytes:
@@ -489,7 +576,7 @@ def test_pieces_unigram(fallback, squeeze):
     texts = ["then the cat", "the  then ten", "hat", "", "then cat the hen"] + (["étè 漢"] if fallback else ["the x cat"])
     ids, parity, back = c.encode(texts)
     assert all(parity) and ids.to_pylist() == [c.library.encode(t) for t in texts]
-    assert back == [fallback or "x" not in t for t in texts]
+    assert back.tolist() == [fallback or "x" not in t for t in texts]
 
 
 # ---------------------------------------------------------------- 8 licences
@@ -511,6 +598,66 @@ def test_licences(spark):
     assert licences.scan(df).count() == len(files) and licences.scan(df.limit(0)).count() == 0
 
 
+def brute_licence(text):
+    """The licence and cosine of a text's widest finding, by vectors as dictionaries."""
+    bag = lambda t: collections.Counter(re.findall("[a-z]+|[0-9]+(?:[.][0-9]+)*", t.lower()))
+    bags = [(n, bag(t)) for n, t in licences.TEMPLATES]
+    df = collections.Counter(t for _, b in bags for t in b)
+    idf = lambda t: math.log((1 + len(bags)) / (1 + df[t])) + 1
+    norm = lambda b: math.sqrt(sum((n * idf(t)) ** 2 for t, n in b.items()))
+    low = (text or "").lower()
+    for pieces_ in ([low], re.split("\n[ \t\r]*\n", low), low.split("\n")):
+        best = None
+        for seg in pieces_:
+            if not any(c in seg for c in licences.CUES):
+                continue
+            b = bag(seg)
+            for n, t in bags:
+                dot = sum(k * t[x] * idf(x) ** 2 for x, k in b.items() if x in t)
+                cos = round(dot / norm(b) / norm(t), 6) if b else 0
+                if cos >= 0.6 and (best is None or (-cos, n) < best):
+                    best = (-cos, n)
+        if best:
+            return best[1], -best[0]
+    return None, None
+
+
+def test_licences_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs = [f"{' '.join(words(30, 1))}\n\n{t}\n\n{' '.join(words(30, 2))}" for _, t in licences.TEMPLATES]
+    for k in range(60):  # statements among words, wrapped in comments, cut
+        t = licences.TEMPLATES[rng.integers(len(licences.TEMPLATES))][1].split(" ")
+        t = t[: int(rng.integers(2, len(t) + 1))]
+        docs.append(f"{' '.join(words(int(rng.integers(0, 5)), k))} {' '.join(t)} {' '.join(words(int(rng.integers(0, 5)), k + 1))}\n" + "\n".join("# " + x for x in re.findall(".{1,60}", " ".join(t))))
+    got = {r["doc_id"]: (r["licence"], r["cosine"]) for r in rows(licences.scan(spark.createDataFrame(list(enumerate(docs)), DOC).withColumn("path", F.lit(None).cast("string"))))}
+    want = {k: brute_licence(t) for k, t in enumerate(docs)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs((got[k][1] or 0) - (want[k][1] or 0)) < 2e-6 for k in want) and sum(v[0] is not None for v in want.values()) > 150
+    assert all(any(c in t.lower() for c in licences.CUES) for _, t in licences.TEMPLATES)
+
+
+def test_licence_texts(spark):
+    """Files as they are met: bodies with a name and a notice, wrapped headers, identifiers."""
+    of = lambda name: max((t for n, t in licences.TEMPLATES if n == name), key=len)
+    wrap = lambda t, head="", width=76: "\n".join(head + x for x in re.findall(f".{{1,{width}}}(?: |$)", t))
+    notice = "Copyright (c) 2019 The Authors\nAll rights reserved.\n\n"
+    files = [(name, f"{title}\n\n{notice}" + "\n\n".join(wrap(x) for x in of(name).split("\n"))) for name, title in (("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("MIT", "MIT License"), ("Unlicense", ""))]
+    files += [(n, wrap(t, "// ", 60) + "\n\nint main() { return 0; }\n") for n, t in licences.TEMPLATES if "WITHOUT ANY WARRANTY" in t or "Source Code Form" in t or "you may not use this file" in t]
+    ids = {"Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "ISC": "ISC", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "Unlicense": "Unlicense"}
+    files += [(want, f"#!/bin/sh\n# SPDX-License-Identifier: {i}\necho {i}\n") for i, want in ids.items()]
+    files += [(None, "# SPDX-License-Identifier: Proprietary-X\nx = 1\n"), (None, "a licence is a thing with conditions and warranties that people read"), (None, "copyright " * 40), (None, "")]
+    df = spark.createDataFrame([(k, f"d{k}/x.c", t) for k, (_, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in rows(licences.scan(df))}
+    assert got == {k: want for k, (want, _) in enumerate(files)}
+
+
+def test_licence_files_of_one_directory(spark):
+    """Of two licence files the better finding covers the directory; of equal ones the first by path."""
+    files = [(1, "a/LICENSE", "some words about it\nReleased under the MIT License today"), (2, "a/COPYING", "Licensed under the ISC License"), (3, "a/x", ""), (4, "b/LICENSE", "Released under the MIT License"), (5, "b/COPYING", "Released under the ISC License"), (6, "b/x", "")]
+    got = {r["doc_id"]: r["licence"] for r in rows(licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")))}
+    assert got[3] == "ISC" and got[6] == "ISC"
+
+
 # ---------------------------------------------------------------- 9 near copies
 
 
@@ -561,6 +708,42 @@ def test_near_copies(spark):
     assert rows(nearcopies.classes(frame(spark, [(1, None), (2, "")]))) == [{"doc_id": 1, "class_id": 1, "is_kept": True}, {"doc_id": 2, "class_id": 2, "is_kept": True}]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_near_copies_of_real_texts(spark):
+    """All links of similarity 0.8 in the supplied documents, with copies edited to just above and below it."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    long = [(d, t) for d, t in docs if t and len(WORD.findall(t)) > 60][:40]
+    for k, (d, t) in enumerate(long):
+        w = WORD.findall(t)
+        docs.append((10_000 + d, edited(" ".join(w), max(1, (len(w) * (1 + k % 5)) // 100), d)))
+    got = {r["doc_id"]: r["class_id"] for r in rows(nearcopies.classes(spark.createDataFrame(docs, DOC)))}
+    want = brute_classes(docs)
+    assert got == want and sum(c != d for d, c in want.items()) > 20
+
+
+def test_very_long_texts(spark):
+    """Texts longer than a slice, between short ones, through every operator that works by slices."""
+    item = "zeta eta theta iota kappa lambda mu nu xi omicron rho sigma".split()
+    many = words(59_988, 1, 3000)
+    many[30_000:30_000] = item
+    key = 'token = "abcdef123456"'
+    docs = [(1, "short one"), (2, " ".join(many) + " " + key), (3, " ".join(many[:59_000]) + " END"), (4, None), (5, " ".join(many[100:160])), (6, key)]
+    assert len(docs[1][1]) > textkit.SLICE_BYTES
+    df = spark.createDataFrame(docs, DOC).coalesce(1)
+    scanned = {r["doc_id"]: r["base_spans"] for r in rows(secretscan.scan(df))}
+    assert scanned == {d: brute_secrets(t) for d, t in docs}
+    assert {r["doc_id"]: r["class_id"] for r in rows(nearcopies.classes(df))} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6}
+    want = brute_substrings(docs, 50)
+    assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept"])) for r in rows(substrings.dedup(df))) == want
+    judged = {r["doc_id"]: r for r in rows(boosted.judge(df, boosted.Trees(np.zeros((0, len(stats.NAMES))), np.zeros(0))))}
+    assert judged[2]["n_words"] == 60_003 and judged[3]["n_words"] == 59_001 and judged[4]["n_words"] == 0
+    grams = brute_grams(docs[1][1])
+    found = [langid.gram_counts(s) for i, _, s in textkit.slices(pa.array([t for _, t in docs])) if i == 1]
+    assert sorted(found[0][2].tolist()) == sorted(grams.values())
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in rows(decontaminate.leaks(df, bench))} == {2, 3}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     est, true = [], []
@@ -613,16 +796,50 @@ def test_out_of_place_by_hand():
     assert [p.langs[k] for k in lang] == ["x", "y"] and score.tolist() == [1.0, 1.0]
 
 
+def brute_grams(text):
+    c = collections.Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        x = f" {w} "
+        c.update([*w, *(x[k : k + 2] for k in range(len(x) - 1)), *(x[k : k + 3] for k in range(len(x) - 2))])
+    return c
+
+
+@pytest.mark.parametrize("length", [400, 12])
+def test_languages_against_out_of_place(spark, length):
+    """Profiles and distances from plain dictionaries: mixed scripts, equal distances and equal counts among them."""
+    number = lambda g: functools.reduce(lambda n, c: n * langid.CLASSES + c, [0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else ord(x) for x in g][1:], ([0 if x == " " else ord(x) - 96 if "a" <= x <= "z" else ord(x) for x in g][0] + (len(g) > 1)))
+    rng = np.random.default_rng(length)
+    parts = {"en": "the and ing er ou", "fr": "eau que tion oi é", "ru": "ста ние про ый", "el": "και το ος εί"}
+    docs = [(d, " ".join("".join(rng.choice(parts[x].split(), 2)) for _ in range(12)), x) for d, x in enumerate(rng.choice(list(parts), 60))]
+    docs += [(100, "the and και το ста ние", None), (101, "zzz", None), (102, "q w", None), (103, "", None), (104, "the eau ста και", None), (105, "x" * 300, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows(langid.predict(df, langid.fit(df, length=length)))}
+    learned = [(t, x) for d, t, x in docs if x and zlib.crc32(str(d).encode()) % 4 != 2]
+    total = {x: collections.Counter() for x in parts}
+    for t, x in learned:
+        total[x].update(brute_grams(t))
+    own = {x: sorted(total[x], key=lambda g: (-total[x][g], number(g)))[:length] for x in parts}
+    every = collections.Counter()
+    for x, gs in own.items():
+        every.update({g: total[x][g] for g in gs})
+    order = {g: k for k, g in enumerate(sorted(every, key=lambda g: (-every[g], number(g))))}
+    for d, t, _ in docs:
+        c = brute_grams(t)
+        mine = sorted(c, key=lambda g: (-c[g], order.get(g, len(order)), number(g)))[:length]
+        if not mine:
+            assert got[d] == ("und", 0.0)
+            continue
+        far = {x: sum(abs(own[x].index(g) - k) if g in own[x] else length for k, g in enumerate(mine)) for x in sorted(parts)}
+        best = min(far, key=lambda x: (far[x], x))
+        assert got[d][0] == best and abs(got[d][1] - (1 - far[best] / (length * len(mine)))) < 1e-12, d
+
+
 def test_grams_keep_letters_apart():
     """Brute-force n-grams of real letters, and two alphabets of letters that were once one class."""
     texts = ["aä û Äa", "ч а я", "漢字 かな", "", None, "1 2", "öß öß oe", "𐐨a"]
     want = []
-    for d, t in enumerate(texts):
-        c = collections.Counter()
-        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
-            x = f" {w} "
-            c.update([*w, *(x[k : k + 2] for k in range(len(x) - 1)), *(x[k : k + 3] for k in range(len(x) - 2))])
-        want.append(sorted(c.values()))
+    for t in texts:
+        want.append(sorted(brute_grams(t).values()))
     doc, gram, n = langid.gram_counts(next(textkit.slices(pa.array(texts)))[2])
     assert [sorted(n[doc == d].tolist()) for d in range(len(texts))] == want
     alone = [langid.gram_counts(next(textkit.slices(pa.array([t], pa.string())))[2]) for t in texts]
@@ -634,6 +851,20 @@ def test_grams_keep_letters_apart():
     assert [p.langs[k] for k in lang] == ["x", "y"]
 
 
+def test_only_empty_texts(spark):
+    """A batch without a byte of text."""
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "")], DOC).coalesce(1)
+    docs, labels = corpus(spark, 60)
+    train = frame(spark, docs)
+    assert len({r["score"] for r in rows(quality.score(df, quality.fit(train, labels)))}) == 1
+    assert {(r["n_words"], r["base_failed"], r["kept"]) for r in rows(boosted.judge(df, boosted.fit(train, labels)))} == {(0, True, False)}
+    assert {r["spans"] for r in rows(secretscan.scan(df))} == {""} and secretscan.redact(df).count() == 3
+    assert {(r["n_words"], r["kept"]) for r in rows(substrings.dedup(df))} == {(0, "")}
+    assert {r["class_id"] for r in rows(nearcopies.classes(df))} == {1, 2, 3}
+    m = langid.fit(train.withColumn("lang", F.lit("en")))
+    assert {r["lang_pred"] for r in rows(langid.predict(df, m))} == {"und"} and langid.fit(df.withColumn("lang", F.lit("en"))).langs == []
+
+
 def test_map_text_keeps_rows(spark):
     out = arrowmap.map_text(frame(spark, ODD), "doc_id", "text", lambda ids, texts, s: {"doc_id": ids, "n": s.n_words.astype(np.int64)}, "doc_id long, n long")
     assert sorted(str((r["doc_id"], r["n"])) for r in rows(out)) == sorted(str((d, len(WORD.findall(t or "")))) for d, t in ODD)
