@@ -72,21 +72,21 @@ def candidates(knn: DataFrame, hashed: DataFrame, budget: int | None = None) ->
     return one.orderBy(*order).limit(budget) if budget is not None else one
 
 
-def group_designs(rows: DataFrame, verify, *, k: int = 8, most: int = 4, budget: int | None = None, all_pairs_up_to: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def group_designs(rows: DataFrame, verify, *, k: int = 8, most: int = 4, budget: int | None = None, all_pairs_up_to: int = 20_000, id_type: str = "long") -> tuple[DataFrame, DataFrame]:
     """(labels, edges): components of verified candidate pairs; rows: (id, vec, h).
 
-    verify maps candidate pairs (i, j) to accepted edges.  Small inputs try all pairs, larger
-    ones neighbours and near hashes.
+    verify maps candidate pairs (i, j) to accepted edges (``pixels.pair_verifier`` makes one).  Inputs of up to
+    ``all_pairs_up_to`` pairs try all of them, larger ones neighbours and near hashes.
     """
     from sparkloom.operators.similarity import knn_pairs
 
     n = rows.count()
     if n * (n - 1) // 2 <= all_pairs_up_to:
-        every = pair_scores(rows.select("id", "vec"), rows.select("id", "vec")).where(F.col("q_id") < F.col("g_id"))
+        every = pair_scores(rows.select("id", "vec"), rows.select("id", "vec"), id_type=id_type).where(F.col("q_id") < F.col("g_id"))
         tried = every.select(F.col("q_id").alias("i"), F.col("g_id").alias("j"))
     else:
-        tried = candidates(knn_pairs(rows.select("id", "vec"), k), hamming_pairs(rows.select("id", "h"), most), budget)
-    edges = verify(tried)
+        tried = candidates(knn_pairs(rows.select("id", "vec"), k, id_type), hamming_pairs(rows.select("id", "h"), most), budget)
+    edges = written(verify(tried), "verified")
     return connected_components(edges, "i", "j", rows.select("id")), edges
 
 

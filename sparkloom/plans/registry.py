@@ -317,7 +317,7 @@ def candidate_union(spark, d):
     return curation.candidates(similarity.knn_pairs(items(spark, d).select("id", "vec"), 3), similarity.hamming_pairs(hashes(spark, d), 8, mode="exact"))
 
 
-@query(f"WITH RECURSIVE {EXACT}, e AS (SELECT i, j FROM pairs WHERE distance <= 8 UNION ALL SELECT j, i FROM pairs WHERE distance <= 8), reach(id, c) AS (SELECT id, id FROM h UNION SELECT e.j, r.c FROM reach r JOIN e ON e.i = r.id), comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id), f AS (SELECT id, c, 'f' || (label % 4) AS family FROM comp JOIN embeddings ON vec_id = id) SELECT a.id AS i, b.id AS j FROM f a JOIN f b ON a.family = b.family AND a.id < b.id AND a.c <> b.c WHERE (b.id - a.id) % 7 <> 0")
+@query(f"WITH RECURSIVE {EXACT}, e AS (SELECT i, j FROM pairs WHERE distance <= 8 UNION ALL SELECT j, i FROM pairs WHERE distance <= 8), reach(id, c) AS (SELECT id, id FROM h UNION SELECT e.j, r.c FROM reach r JOIN e ON e.i = r.id), comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id), f AS (SELECT vec_id AS id, coalesce(c, vec_id) AS c, 'f' || (label % 4) AS family FROM embeddings LEFT JOIN comp ON vec_id = id) SELECT a.id AS i, b.id AS j FROM f a JOIN f b ON a.family = b.family AND a.id < b.id AND a.c <> b.c WHERE (b.id - a.id) % 7 <> 0")
 def same_family_negatives(spark, d):
     """Pairs of a family, not of a component, not awaiting review (here ids that differ by a multiple of 7)."""
     rows = items(spark, d).select("id", "family")
@@ -654,7 +654,7 @@ def success_verdict(spark, d):
     return audit.verdict(bars, long)
 
 
-@query("SELECT event_id, to_json({'u': user_id, 't': event_type}) FROM events")
+@query("SELECT event_id, to_json({'u': user_id, 't': event_type}) AS k FROM events")
 def json_params(spark, d):
     """Parameters written as compact JSON."""
     return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("t"))).alias("k"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import pixels, strings
 from sparkloom.functions.ids import stable_image_id
+from sparkloom.operators.curation import seeded_sample
 
+# Fixed value: the folder that archivers leave behind.
+ARCHIVE_NOISE = r"(?:^|/)__MACOSX/"
 DEAD_LETTER = "path string, source string, reason string"
 
 
@@ -29,15 +32,26 @@ class SourceConfig:
     vendor_dirs: tuple[str, ...] = field(default=("train", "valid", "test"))
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path below root, length, suffix) of all files; hidden files and folders are left out.
+def list_files(spark: SparkSession, root: str, glob: str = "*", *, noise: bool = True) -> DataFrame:
+    """(path below root, length, suffix) of all files; hidden files and folders are left out, without ``noise`` what archivers leave behind as well.
 
     Only paths and lengths are selected, so no file's bytes are read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), len(base) + 2, 1 << 30)
-    return files.select(rel.alias("path"), "length").where(~F.col("path").rlike(r"(^|/)\.")).withColumn("suffix", strings.suffix(F.col("path")))
+    return files.select(rel.alias("path"), "length").where(~F.col("path").rlike(r"(^|/)\.")).withColumn("suffix", strings.suffix(F.col("path"))).where(F.lit(noise) | ~F.col("path").rlike(ARCHIVE_NOISE))
+
+
+class Adapter(Protocol):
+    """What turns the readable images of a source into manifest records and, perhaps, dead letters."""
+
+    def __call__(self, images: DataFrame, cfg: SourceConfig) -> tuple[DataFrame, DataFrame | None]: ...
+
+
+def decode_check(images: DataFrame, sample: int, seed: int = 0) -> DataFrame:
+    """(path) of those images of a seeded sample that can't be decoded; images: (path, image)."""
+    return seeded_sample(images.select("path", "image.height"), "path", sample, seed).where("height <= 0").select("path")
 
 
 def read_images(spark: SparkSession, cfg: SourceConfig) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +82,7 @@ def flat(images: DataFrame, cfg: SourceConfig) -> tuple[DataFrame, DataFrame | N
     for p in reversed(cfg.strip_prefixes):
         hit = F.startswith(stem, F.lit(p))
         cut = F.when(hit, F.substring(stem, len(p) + 1, 1 << 30)).otherwise(cut)
-        note = F.when(hit, F.lit(f"had filename prefix '{p}' (no pairing meaning found)")).otherwise(note)
+        note = F.when(hit, F.lit(f"prefix '{p}' left out of the stem")).otherwise(note)
     return _record(images, cfg, craft_family=F.lit(cfg.craft_family), notes=note, hints=F.create_map(F.lit("stem"), cut)), None
 
 
@@ -76,22 +90,22 @@ def hierarchical(images: DataFrame, cfg: SourceConfig) -> tuple[DataFrame, DataF
     """Folders by vendor split and family: the split is noted and ignored, the family is a path part."""
     parts = F.split("path", "/")
     deep = F.size(parts) > cfg.family_index
-    shallow = images.where(~deep).select("path", F.lit(cfg.key).alias("source"), F.lit(f"path too shallow to contain a craft family at index {cfg.family_index}").alias("reason"))
+    shallow = images.where(~deep).select("path", F.lit(cfg.key).alias("source"), F.lit(f"no family folder: fewer than {cfg.family_index + 1} parts in the path").alias("reason"))
     rows = images.where(deep)
     first = F.get(parts, F.lit(0))
     vendor = F.when(first.isin(*cfg.vendor_dirs), first).otherwise("")
     stem, whole = strings.export_stem(F.col("path")), strings.file_stem(F.col("path"))
     generic = strings.is_generic(stem)
     notes = strings.join_notes(
-        F.when(vendor != "", F.concat(F.lit("vendor split '"), vendor, F.lit("' ignored"))).otherwise(""),
-        F.when(~whole.rlike(strings.EXPORT_NAME), F.lit("filename does not match the export pattern")).otherwise(""),
-        F.when(generic, F.concat(F.lit("generic stem '"), stem, F.lit("' is a filename collision, not an identity"))).otherwise(""),
+        F.when(vendor != "", F.concat(F.lit("folder '"), vendor, F.lit("' is no split of ours"))).otherwise(""),
+        F.when(~whole.rlike(strings.EXPORT_NAME), F.lit("no export name")).otherwise(""),
+        F.when(generic, F.concat(F.lit("stem '"), stem, F.lit("' names no design"))).otherwise(""),
     )
     hints = F.create_map(F.lit("stem"), stem, F.lit("generic_stem"), generic.cast("string"), F.lit("vendor_split"), vendor)
     return _record(rows, cfg, craft_family=F.get(parts, F.lit(cfg.family_index)), notes=notes, hints=hints), shallow
 
 
-ADAPTERS: dict[str, Callable[[DataFrame, SourceConfig], tuple[DataFrame, DataFrame | None]]] = {"flat": flat, "hierarchical": hierarchical}
+ADAPTERS: dict[str, Adapter] = {"flat": flat, "hierarchical": hierarchical}
 
 
 def get_adapter(name: str):

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import dataclasses
 import json
+from collections.abc import Callable
 from typing import TypeVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.ids import manifest_fingerprint
 from sparkloom.operators import schema, summary
+from sparkloom.plans.shared import written
 
 C = TypeVar("C")
 
@@ -109,9 +112,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     with_placeholder(df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A report's table; reports show aggregates, the first rows of longer ones."""
-    rows = df.limit(most).collect()
+def markdown_table(df: DataFrame, most: int | None = None) -> str:
+    """A report's table of aggregates, row by row from the executors; ``most`` is for tables that are top-k reports."""
+    rows = (df if most is None else df.limit(most)).toLocalIterator()
     line = lambda cells: "| " + " | ".join("" if c is None else f"{c:.4g}" if isinstance(c, float) else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
 
@@ -156,6 +159,50 @@ def links_yaml(links: DataFrame, audited: list[str], rule: float = 0.90) -> str:
     return yaml.safe_dump({"version": 2, "keyed_by": "image_id", "rule": {"unreviewed_nearest_train_cosine_min": rule}, "links": rows, "audited_test_image_ids": sorted(audited)}, sort_keys=False)
 
 
+AUDIT_COLUMNS = ("test_path", "test_design", "nearest_train_path", "nearest_train_design", "cosine", "method")
+MINED_COLUMNS = ("idx", "cosine_gray", "hue_l1", "design_a", "design_b", "family_a", "family_b", "split_a", "split_b", "path_a", "path_b")
+
+
+def write_leakage_audit(audit: DataFrame, manifest: DataFrame, path: str, method: str) -> DataFrame:
+    """The audit (image_id, nearest_image_id, cosine) with paths and designs as CSV, highest cosine first."""
+    side = lambda c, p: manifest.select(F.col("image_id").alias(c), F.col("path").alias(f"{p}_path"), F.col("design_id").alias(f"{p}_design"))
+    rows = audit.join(side("image_id", "test"), "image_id").join(side("nearest_image_id", "nearest_train"), "nearest_image_id")
+    out = rows.withColumns({"cosine": F.bround("cosine", 4), "method": F.lit(method)}).select(*AUDIT_COLUMNS).orderBy(F.desc("cosine"), "test_path")
+    write_csv(out, path)
+    return out
+
+
+def write_mined_pairs(numbered: DataFrame, images: DataFrame, path: str) -> DataFrame:
+    """Numbered pairs (idx, i, j, cosine, hue_l1) with what people need to judge them, as CSV; images: (id, design_id, craft_family, split, path)."""
+    side = lambda c, p: images.select(F.col("id").alias(c), F.col("design_id").alias(f"design_{p}"), F.col("craft_family").alias(f"family_{p}"), F.col("split").alias(f"split_{p}"), F.col("path").alias(f"path_{p}"))
+    out = numbered.withColumnRenamed("cosine", "cosine_gray").join(side("i", "a"), "i").join(side("j", "b"), "j").select(*MINED_COLUMNS).orderBy("idx")
+    write_csv(out, path)
+    return out
+
+
+def write_verdicts(rows: DataFrame, path: str) -> None:
+    """Audit verdicts (or review flags) as CSV; a row that says none where there are none."""
+    write_csv(rows, path)
+
+
+def write_synthetic(drawn: DataFrame, path: str) -> None:
+    """Drawn images as a table (image_id, path, geo_params, content), whose paths are those of the manifest's synthetic rows."""
+    drawn.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def append_missing(wanted: DataFrame, cache: str, make: Callable[[DataFrame], DataFrame], key: str = "key") -> int:
+    """Makes the results that the cache table lacks and appends them; how many keys were missing."""
+    try:
+        have = wanted.sparkSession.read.parquet(cache)
+    except AnalysisException:  # no such table yet
+        have = wanted.limit(0)
+    missing = written(missing_keys(wanted, have, key), "missing")
+    n = missing.count()
+    if n:
+        make(missing).write.mode("append").parquet(cache)
+    return n
+
+
 def missing_keys(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
     """Rows whose result a cache table lacks."""
     return wanted.join(cache.select(key), key, "left_anti")

@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import ids, pixels, strings, vectors
-from sparkloom.operators import audit, curation, retrieval, schema, similarity, summary, validate, verification
+from sparkloom.functions import embedding, ids, pixels, strings, vectors
+from sparkloom.operators import audit, curation, ranges, retrieval, schema, similarity, summary, validate, verification
 from sparkloom.operators.components import connected_components
-from sparkloom.sources import adapters, files
+from sparkloom.plans.shared import written
+from sparkloom.sources import adapters, files, reports
 
 
 def one(df):
@@ -364,10 +365,10 @@ def test_adapters_and_pixels(spark, tmp_path):
     rows = {r.path: r for r in rec.collect()}
     assert set(rows) == {"train/Ikat/motif_jpg.rf.0abc.png", "train/Ikat/image 3.png"}
     r = rows["train/Ikat/motif_jpg.rf.0abc.png"]
-    assert (r.width, r.height, r.craft_family, r.hints["stem"]) == (64, 64, "Ikat", "motif") and "vendor split 'train' ignored" in r.notes
+    assert (r.width, r.height, r.craft_family, r.hints["stem"]) == (64, 64, "Ikat", "motif") and "folder 'train' is no split of ours" in r.notes
     assert r.phash == pixels.perceptual_hash(img)
-    assert "filename collision" in rows["train/Ikat/image 3.png"].notes
-    assert {(d.path.split("/")[-1], d.reason.split(":")[0].split(" (")[0]) for d in dead.collect()} == {("broken.png", "unreadable"), ("notes.txt", "not an image extension"), ("h_top.png", "path too shallow to contain a craft family at index 1")}
+    assert "names no design" in rows["train/Ikat/image 3.png"].notes
+    assert {(d.path.split("/")[-1], d.reason.split(":")[0].split(" (")[0]) for d in dead.collect()} == {("broken.png", "unreadable"), ("notes.txt", "not an image extension"), ("h_top.png", "no family folder")}
     flat, _ = adapters.build_records(spark, [adapters.SourceConfig("f", f"file://{tmp_path}", "flat", strip_prefixes=("h_",))])
     assert {r.path: r.hints["stem"] for r in flat.collect()}["h_top.png"] == "top"
     with pytest.raises(KeyError, match="unknown adapter"):
@@ -417,6 +418,157 @@ def test_pixel_functions():
     assert pixels.to_tensor(img, 8).shape == (3, 8, 8) and math.isclose(float(np.linalg.norm(pixels.colour_histogram(img))), 1)
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder of images: two crops of one scene, single scenes, and a second source by family with copies."""
+    root = tmp_path_factory.mktemp("corpus")
+    flat, deep = root / "flat", root / "deep"
+    flat.mkdir()
+    scene = texture(1, 320)
+    (flat / "h_img_1.png").write_bytes(png(scene[:224, :224]))
+    (flat / "img_2.png").write_bytes(png(scene[64:288, 64:288]))
+    for k in range(5):
+        (flat / f"img_{10 + k}.png").write_bytes(png(texture(100 + k, 176)))
+    (flat / "notes.txt").write_text("x")
+    for f, family in enumerate(("Banarasi", "Ikat")):
+        for d in range(3):
+            img = texture(500 + 50 * f + d, 160)
+            for c in range(3 if d == 0 else 1):
+                at = deep / ("train", "valid", "test")[(d + c) % 3] / family
+                at.mkdir(parents=True, exist_ok=True)
+                copy = img.copy()
+                if c:
+                    copy.reshape(-1, 3)[np.random.default_rng(c).choice(160 * 160, 25, replace=False)] = 255
+                (at / f"motif{f}{d}_jpg.rf.{c}abc.png").write_bytes(png(copy))
+    return root
+
+
+def build(spark, root):
+    """Folder to manifest: records, duplicates, designs, splits, roles, planned and drawn synthetic images, checks."""
+    sources = [adapters.SourceConfig("flat", f"file://{root}/flat", strip_prefixes=("h_",)), adapters.SourceConfig("deep", f"file://{root}/deep", "hierarchical")]
+    records, dead = adapters.build_records(spark, sources)
+    images = spark.read.format("image").option("recursiveFileLookup", True).load(f"file://{root}").where("image.height > 0")
+    rel = F.regexp_extract("image.origin", r"/(?:flat|deep)/(.*)$", 1)
+    images = written(images.select(ids.stable_image_id(rel).alias("image_id"), "image"), "images")
+    described = pixels.describe(images).select("image_id", "noise", "texture")
+    rows = written(records.join(described, "image_id"), "records")
+    h = rows.select(F.col("image_id").alias("id"), ids.hex_to_long(F.col("phash")).alias("h"))
+    groups = curation.duplicate_groups(h, 4, "exact").select(F.col("id").alias("image_id"), F.col("component").alias("dup_group"))
+    reps = curation.representatives(rows.join(groups, "image_id").select("dup_group", F.col("noise").alias("score"), "path", F.col("image_id").alias("id")))
+    of = rows.join(groups, "image_id").join(reps, "dup_group").withColumn("is_representative", F.col("image_id") == F.col("representative"))
+    thumbs = pixels.thumbnails(images.join(reps.select(F.col("representative").alias("image_id")), "image_id").select(F.col("image_id").alias("id"), "image"))
+    one = of.where("is_representative").select(F.col("image_id").alias("id"), F.col("texture").alias("vec"), ids.hex_to_long(F.col("phash")).alias("h"))
+    labels, edges = curation.group_designs(one, pixels.pair_verifier(thumbs), id_type="string")
+    named = of.join(labels.select(F.col("id").alias("representative"), F.col("component").alias("design_id")), "representative")
+    designs = curation.rollup_designs(named).withColumn("forced", F.col("n_views") > 1)
+    splits = curation.assign_splits(designs, val_frac=0.25, test_frac=0.25)
+    real = curation.real_defaults(curation.assign_roles(named.join(splits, "design_id")))
+    pools = pixels.split_palettes(pixels.palette_bank(12, 5, 1), {"train": 4, "val": 4, "test": 4}, 1)
+    plan = curation.synthetic_rows(real, methods={"val": "lab_hue_chroma_remap", "test": "lab_hue_chroma_remap"}, palettes={k: [p["palette_id"] for p in v] for k, v in pools.items()}, n_recolor=1, n_tonal=1)
+    drawn = written(pixels.render(plan, images, pools, 64), "drawn")
+    synthetic = plan.drop("geo_params").join(drawn.select("image_id", "geo_params"), "image_id")
+    manifest = curation.demote(schema.conform(real).unionByName(schema.conform(synthetic)))
+    return written(manifest, "manifest"), dead, edges, drawn, rows
+
+
+def test_folder_to_manifest_to_evaluation(spark, corpus):
+    manifest, dead, edges, drawn, rows = build(spark, corpus)
+    real = manifest.where("NOT is_synthetic")
+    of = {r.path: r for r in real.collect()}
+    assert len(of) == 7 + 10 and {d.path for d in dead.collect()} == {"notes.txt"}
+    assert of["h_img_1.png"].design_id == of["img_2.png"].design_id and of["h_img_1.png"].dup_group != of["img_2.png"].dup_group
+    assert len({of[f"img_{10 + k}.png"].design_id for k in range(5)} | {of["img_2.png"].design_id}) == 6
+    for f in range(2):
+        copies = [r for p, r in of.items() if f"motif{f}0" in p]
+        assert len(copies) == 3 and len({r.dup_group for r in copies}) == 1 and sum(r.is_representative for r in copies) == 1 and {r.craft_family for r in copies} == {("Banarasi", "Ikat")[f]}
+    files_ = real.select("path").unionByName(drawn.select("path"))
+    validate.require_valid(manifest, schema.label_map(manifest), files=files_)
+    with pytest.raises(ValueError, match="CK-32"):
+        validate.require_valid(manifest, schema.label_map(manifest), files=real.select("path"))
+    # Every planned image was drawn, of the size asked for, with its parent's parameters recorded.
+    assert drawn.count() == manifest.where("is_synthetic").count() > 4
+    assert {r.content[:8] for r in drawn.collect()} == {b"\x89PNG\r\n\x1a\n"} and all(json.loads(r.geo_params)["crop"] for r in drawn.collect())
+    again = build(spark, corpus)[0]
+    key = lambda m: sorted((r.image_id, r.design_id, r.split, r.role, r.geo_params) for r in m.collect())
+    assert key(again) == key(manifest)
+    # Evaluation: the drawn queries against the gallery by a descriptor of the drawn pixels.
+    decoded = {r.image_id: unpng(r.content) for r in drawn.collect()}
+    vec = [(k, pixels.colour_histogram(np.repeat(pixels.gray(v)[..., None], 3, 2)).tolist()) for k, v in decoded.items()]
+    q = spark.createDataFrame(vec, "id string, vec array<double>").join(manifest.select(F.col("image_id").alias("id"), F.col("design_id").alias("design"), F.col("query_kind"), "split"), "id")
+    g = rows.select(F.col("image_id").alias("id"), F.col("texture").alias("vec")).join(manifest.where("role = 'gallery'").select(F.col("image_id").alias("id"), F.col("design_id").alias("design")), "id")
+    s = similarity.pair_scores(q.select("id", "vec"), g.select("id", F.slice(F.concat("vec", F.array_repeat(F.lit(0.0), 512)), 1, 512).alias("vec")), id_type="string")
+    got = retrieval.summary(retrieval.per_query(s, q, g)).first()
+    assert got.n_queries == len(vec) and 0 <= got.rank1 <= got.rank5 <= 1
+
+
+def unpng(data):
+    h, w = struct.unpack(">II", data[16:24])[::-1]
+    raw = zlib.decompress(data[41 : 41 + struct.unpack(">I", data[33:37])[0]])
+    return np.frombuffer(raw, np.uint8).reshape(h, 1 + 3 * w)[:, 1:].reshape(h, w, 3)
+
+
+def test_embedding_seam(spark, corpus):
+    images = spark.read.format("image").load(f"file://{corpus}/flat").where("image.height > 0")
+    got = images.select(embedding.embed(lambda: lambda x: x.mean((2, 3)), size=8).alias("v")).collect()
+    assert len(got) == 7 and all(len(r.v) == 3 for r in got)
+
+
+def test_reports(spark, tmp_path):
+    i = spark.createDataFrame([("a", "main_rank1", 0.9, 0.8, 0.95), ("a", "map", 0.5, 0.4, 0.6), ("b", "main_rank1", 0.85, 0.7, 0.9), ("b", "map", 0.7, 0.6, 0.8)], "method string, metric string, value double, low double, high double")
+    doc = json.loads(reports.results_json({"intervals": i, "auc": spark.createDataFrame([("a", float("nan"))], "method string, roc_auc double")}))
+    assert [d["method"] for d in doc] == ["a", "b"] and doc[0]["auc"] == {"roc_auc": None} and len(doc[1]["intervals"]) == 2
+    assert "0.900 [0.800, 0.950]" in reports.results_markdown({"main": reports.cells(i)}, "Results", {"main": "note"})
+    text = reports.bars_json(audit.bars_from(i.where("method = 'a'")), "a")
+    assert json.loads(text) == {"reference": "a", "guard_least": 0.8, "beat_any": {"map": 0.6}}
+    bars = reports.read_bars(spark, text)
+    r = i.select("method", F.when(F.col("metric") == "main_rank1", "guard").otherwise(F.col("metric")).alias("metric"), "value")
+    verdicts = audit.verdict(bars, r)
+    assert {v["method"]: v["verdict"] for v in json.loads(reports.verdict_json(verdicts, r, bars))} == {"a": "FAIL", "b": "SUCCESS"}
+    assert "| 250 |" in files.markdown_table(spark.range(251).withColumnRenamed("id", "n"))
+    assert "## x" in reports.probe_markdown({"x": ("sentence", i), "y": ("two", "")})
+    wanted = spark.createDataFrame([(k,) for k in "abc"], "key string")
+    cache = str(tmp_path / "cache")
+    make = lambda df: df.withColumn("v", F.lit(1))
+    assert [files.append_missing(wanted.limit(2), cache, make), files.append_missing(wanted, cache, make), files.append_missing(wanted, cache, make)] == [2, 1, 0]
+    m = spark.createDataFrame([("t", "p/t", "d1"), ("n", "p/n", "d2")], "image_id string, path string, design_id string")
+    out = files.write_leakage_audit(spark.createDataFrame([("t", "n", 0.91234)], "image_id string, nearest_image_id string, cosine double"), m, str(tmp_path / "audit"), "x")
+    assert one(out) == [("p/t", "d1", "p/n", "d2", 0.9123, "x")]
+    images = spark.createDataFrame([(1, "d1", "f", "train", "a"), (2, "d2", "f", "test", "b")], "id long, design_id string, craft_family string, split string, path string")
+    mined = audit.numbered_pairs(spark.createDataFrame([(1, 2, 0.5, 0.7)], "i long, j long, cosine double, hue_l1 double"))
+    assert one(files.write_mined_pairs(mined, images, str(tmp_path / "mined"))) == [(1, 0.5, 0.7, "d1", "d2", "f", "f", "train", "test", "a", "b")]
+
+
+def test_small_operators(spark):
+    flags = spark.createDataFrame([("s", "a", "b", 0.99, 0.5, x) for x in (float("nan"), 0.44, 0.45, None)], "source string, path_a string, path_b string, ncc double, overlap double, hue_overlap double")
+    assert [r.hue_overlap for r in audit.review_flags(flags).collect()] == [0.45]
+    assert dict(one(audit.palette_tally(flags))) == {"unmeasurable": 2, "ambiguous": 1, "different": 1}
+    assert one(curation.check_pools(spark.createDataFrame([("a", "p"), ("b", "p"), ("a", "q")], "pool string, palette_id string"))) == [("p", 2)]
+    assert set(one(curation.first_seen(spark.createDataFrame([("x", 2), ("y", 1), ("x", 5)], "k string, n int"), "k", "n"))) == {("x", 2), ("y", 1)}
+    few = curation.sampled_pairs(spark.range(4), 100).collect()
+    assert sorted((r.i, r.j) for r in few) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    many = curation.sampled_pairs(spark.range(200), 50).collect()
+    assert len({(r.i, r.j) for r in many}) == 50 and all(r.i != r.j for r in many)
+    d = spark.createDataFrame([(f"d{k}", "s", "f", False) for k in range(40)], "design_id string, source string, craft_family string, forced boolean")
+    links = spark.createDataFrame([(f"d{k}", f"d{k + 1}") for k in range(0, 30, 3)], "i string, j string")
+    split = curation.assign_grouped_splits(d, links, test_frac=0.3)
+    assert curation.straddling(split, links).count() == 0 and split.count() == 40 and curation.straddling(curation.assign_splits(d, test_frac=0.3), links).count() > 0
+    forced = curation.assign_grouped_splits(d.withColumn("forced", F.col("design_id") == "d1"), links, test_frac=0.0, val_frac=0.0)
+    assert {r.design_id for r in forced.where("split = 'test'").collect()} == {"d0", "d1"}
+    h = spark.createDataFrame([(1, 0b1111), (2, -1), (3, 0)], "id long, h long")
+    q = spark.createDataFrame([(9, [0b111, -2, None])], "id long, hs array<long>")
+    assert one(similarity.nearest_hash(q, h)) == [(9, 1, 1, 0)]
+    x = spark.createDataFrame([(float(v),) for v in (5, 1, 4, 2, 2)], "x double")
+    got = ranges.quantiles(x, "x", {"a": 0.0, "b": 0.5, "c": 0.9, "d": 1.0}).first()
+    assert np.allclose(list(got), np.quantile([5, 1, 4, 2, 2], [0, 0.5, 0.9, 1])) and list(ranges.quantiles(x.limit(0), "x", {"a": 0.5}).collect()) in ([], [(None,)])
+    big = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), (F.col("id") % 3).alias("n"))
+    run = ranges.running(big, "v", ["n"], descending=True).orderBy(F.desc("v")).collect()
+    n = [r.n for r in run]
+    assert [r.place for r in run] == list(range(1, 5001)) and [r.n_run for r in run] == np.cumsum(n).tolist() and [r.n_next for r in run] == [*n[1:], None] and {r.n_all for r in run} == {sum(n)}
+    pairs = spark.createDataFrame([(k, float(k % 17), k % 3 == 0) for k in range(300)], "pair_id long, score double, genuine boolean")
+    ci = {r.metric: r for r in verification.pair_intervals(pairs, 0.1, 30).collect()}
+    assert math.isclose(ci["roc_auc"].value, one(verification.roc_auc(pairs))[0][0]) and all(r.low <= r.value <= r.high for r in ci.values())
+
+
 def test_files(spark, tmp_path, valid):
     csv = str(tmp_path / "m.csv")
     files.write_manifest(valid, str(tmp_path / "m.parquet"), csv)
