@@ -43,20 +43,24 @@ SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS share, n_
 
 #: Rules of the URL filter, as its contract fixes them: (action, entry).
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Canonical URLs blocked where no rule fits.
-URL_LISTED = ("spam-farm.example.org/", "cheap-pills.example.com/")
+#: Canonical URLs blocked where no rule fits: whole hosts under three domains, pages, and a long tail of other sites.
+LISTED_HOSTS, LISTED_DOMAINS = ("spam-farm", "casino-win", "cheap-pills", "free-bets", "ads-track", "adult-x"), ("com", "net", "org")
+LISTED_PAGES = ("blog.tionsh.example.com/fr/74", "tionble.example.org/en/4", "ththan.example.com/de/7", "m.ththes.example.org/fr/8")
+LISTED_TAIL = 50_000
+URL_LISTED = (*(f"{h}.example.{d}/" for h in LISTED_HOSTS for d in LISTED_DOMAINS), *LISTED_PAGES)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "action string, entry string")
-    listed = spark.createDataFrame([(x,) for x in URL_LISTED], "entry string")
-    return urls.filter_urls(table(spark, sf_dir, "pages"), rules, listed)
+    rules = spark.sql("VALUES " + ", ".join(f"('{a}', '{x}')" for a, x in URL_RULES) + " AS t(action, entry)")
+    listed = spark.sql("VALUES " + ", ".join(f"('{x}')" for x in URL_LISTED) + " AS t(entry)")
+    tail = spark.range(LISTED_TAIL).select(F.concat(F.lit("site"), F.col("id") % 9000, F.lit(".listed.example/p"), "id", F.lit("/")).alias("entry"))
+    return urls.filter_urls(table(spark, sf_dir, "pages"), rules, listed.unionByName(tail))
 
 
 OP2_SQL = f"""
 WITH raw AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
-e(action, entry) AS (VALUES {", ".join(f"('{a}', '{x}')" for a, x in URL_RULES)}, {", ".join(f"('listed', '{x}')" for x in URL_LISTED)}),
+e(action, entry) AS (VALUES {", ".join(f"('{a}', '{x}')" for a, x in URL_RULES)}, {", ".join(f"('listed', '{x}')" for x in URL_LISTED)} UNION ALL SELECT 'listed', 'site' || (k % 9000) || '.listed.example/p' || k || '/' FROM range({LISTED_TAIL}) t(k)),
 r AS (SELECT action, entry, split_part(entry, '/', 1) AS rh, substr(entry, strpos(entry, '/')) AS rp FROM e),
 u AS (SELECT DISTINCT host, path FROM p),
 h AS (SELECT u.host, u.path, r.action, r.entry FROM u JOIN r ON (u.host = r.rh OR u.host LIKE '%.' || r.rh) AND (starts_with(u.path, r.rp) OR (r.action = 'listed' AND u.path = '' AND r.rp = '/'))),
@@ -91,12 +95,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_confirmed", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
 
 
-#: The SentencePiece model file, on the driver.
+#: Where the SentencePiece model file is, on the driver, unless a caller names another.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(PIECE_MODEL))
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(model_path))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
 
 
