@@ -15,7 +15,9 @@ a whole 25-word block of that document's non-overlapping grid.  So:
 Hashes travel packed (sorted, as byte planes of differences, with document numbers local
 to a batch), a few bytes per word.  A bucket holds a bounded share of all hashes, whatever
 passage is frequent: a batch sends each (hash, document) once, and groups are reduced by
-sorting, never by pairs.
+sorting, never by pairs.  With more than ``DIRECT`` buckets, rows for one bucket each would be
+many and tiny; they then go through lanes of some square root of the buckets first, whose
+tasks pack them anew, so that rows stay large however many buckets there are.
 
 Defined cases: a null text has no words; rows with a null id keep all words and take none
 from others; rows with equal ids count as one document; documents of fewer than 50 words
@@ -39,6 +41,13 @@ WINDOW = 50
 HASH_BITS, DOC_BITS = 44, 19
 #: Words (or documents) of a batch of packed hashes; input bytes for each bucket.
 BATCH_WORDS, BATCH_DOCS, BUCKET_BYTES = 1 << 21, (1 << DOC_BITS) - 1, 12 << 20
+#: Buckets up to which rows are packed for each of them at once.
+DIRECT = 4096
+
+
+def lane_width(buckets: int) -> int:
+    """Buckets of a lane."""
+    return 1 if buckets <= DIRECT else max(2, int(np.sqrt(buckets)))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -61,13 +70,13 @@ def deltas(values: np.ndarray) -> np.ndarray:
 
 
 class Packer:
-    """Gathers (hash, document, extra) of a task and packs them into one row for each bucket."""
+    """Gathers (hash, document, extra) of a task and packs them into one row for each lane of so many buckets."""
 
     fields = ("bucket", "n", "n_docs", "docs", "hashes", "refs", "extra")
     schema = "bucket int, n int, n_docs int, docs binary, hashes binary, refs binary, extra binary"
 
-    def __init__(self, bits: int, buckets: int):
-        self.bits, self.buckets, self.parts, self.words, self.docs = bits, buckets, [], 0, 0
+    def __init__(self, bits: int, buckets: int, wide: int = 1):
+        self.bits, self.buckets, self.wide, self.parts, self.words, self.docs = bits, buckets, wide, [], 0, 0
 
     def add(self, ids: np.ndarray, doc: np.ndarray, h: np.ndarray, extra: np.ndarray) -> Iterator[pa.RecordBatch]:
         """ids by document of the slice; of each entry its document, hash and extra."""
@@ -86,17 +95,14 @@ class Packer:
         order = np.argsort(h)
         h, extra = h[order], extra[order]
         ids = ids[order]
-        # Buckets are ranges of the hash.
-        step = -(-(1 << self.bits) // self.buckets)
-        cuts = np.searchsorted(h, np.array([min(k * step, (1 << self.bits) - 1) for k in range(self.buckets)] , np.uint64))
-        cuts = np.append(cuts, len(h))
+        # Buckets are ranges of the hash, lanes ranges of buckets.
+        step = -(-(1 << self.bits) // self.buckets) * self.wide
+        lane = (h // np.uint64(step)).astype(np.int64) if step < 1 << 64 else np.zeros(len(h), np.int64)
+        first = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
         cols: dict[str, list] = {f: [] for f in self.fields}
-        for k in range(self.buckets):
-            a, b = int(cuts[k]), int(cuts[k + 1])
-            if a == b:
-                continue
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
             docs, refs = np.unique(ids[a:b], return_inverse=True)
-            made = (k, b - a, len(docs), planes(deltas(docs.view(np.uint64))), planes(deltas(h[a:b])), planes(refs.astype(np.uint64)), planes(extra[a:b].astype(np.uint64)))
+            made = (int(lane[a]), b - a, len(docs), planes(deltas(docs.view(np.uint64))), planes(deltas(h[a:b])), planes(refs.astype(np.uint64)), planes(extra[a:b].astype(np.uint64)))
             for f, v in zip(self.fields, made, strict=True):
                 cols[f].append(v)
         types = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
@@ -120,30 +126,79 @@ def spark_hash(ids: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def by_bucket(packed: DataFrame, buckets: int, reduce: Callable, what: str) -> DataFrame:
+def pack_hits(doc: np.ndarray, h: np.ndarray, buckets: int, wide: int) -> pa.RecordBatch:
+    """(lane, hits): hashes by document, a row for each lane of so many parts of the documents."""
+    lane = np.mod(spark_hash(doc), buckets) // wide
+    order = np.lexsort((doc, lane))
+    doc, h, lane = doc[order], h[order], lane[order]
+    first = np.flatnonzero(np.append(True, lane[1:] != lane[:-1])) if len(lane) else np.zeros(0, np.int64)
+    lanes, rows = [], []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(lane)], strict=True) if len(lane) else ():
+        docs, counts = np.unique(doc[a:b], return_counts=True)
+        head = np.array([len(docs)], np.int64).tobytes()
+        lanes.append(int(lane[a]))
+        rows.append(b"".join(len(x).to_bytes(8, "little") + x for x in (head, planes(deltas(docs.view(np.uint64))), planes(counts.astype(np.uint64)), h[a:b].tobytes())))
+    return pa.RecordBatch.from_arrays([pa.array(lanes, pa.int64()), pa.array(rows, pa.binary())], names=["part", "hits"])
+
+
+def unpack_hits(raw: bytes, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes of a row of hits, by document."""
+    fields, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        fields.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    n = int(np.frombuffer(fields[0], np.int64)[0])
+    return np.repeat(np.cumsum(unplanes(fields[1], n)).view(np.int64), unplanes(fields[2], n).astype(np.int64)), np.frombuffer(fields[3], dtype)
+
+
+def packed_anew(packed: DataFrame, bits: int, buckets: int, wide: int) -> DataFrame:
+    """Rows of lanes as rows of buckets: a lane's rows are dealt to as many tasks as it has buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(bits, buckets)
+        for b in batches:
+            for r in b.to_pylist():
+                doc, h, extra = unpack(r)
+                yield from packer.add(doc, np.arange(len(doc)), h, extra)
+        yield from packer.flush()
+
+    some = F.pmod(F.crc32("hashes"), F.lit(wide))
+    return packed.repartition(buckets, F.col("bucket"), some).sortWithinPartitions("bucket").mapInArrow(run, Packer.schema)
+
+
+def hits_anew(hits: DataFrame, buckets: int, wide: int, dtype) -> DataFrame:
+    """Hits of lanes as hits of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for raw in b.column(1).to_pylist():
+                held.append(unpack_hits(raw, dtype))
+                n += len(held[-1][0])
+                if n >= BATCH_WORDS:
+                    yield pack_hits(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, 1)
+                    held, n = [], 0
+        if held:
+            yield pack_hits(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, 1)
+
+    some = F.pmod(F.crc32("hits"), F.lit(wide))
+    return hits.repartition(buckets, F.col("part"), some).sortWithinPartitions("part").mapInArrow(run, "part long, hits binary")
+
+
+def by_bucket(packed: DataFrame, bits: int, buckets: int, wide: int, reduce: Callable, dtype, what: str) -> DataFrame:
     """Brings the rows of each bucket together and reduces them.
 
-    reduce(ids, hashes, extras) gives ids and hashes; they are packed for each part of the
-    documents (``part``), so a bucket gives one row a part, however many documents it has.
+    reduce(ids, hashes, extras) gives ids and hashes; they are packed for each lane of parts of the
+    documents (``part``), however many documents a bucket has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if not parts:
-                return
-            doc, h = reduce(*[np.concatenate(x) for x in zip(*parts, strict=True)])
-            part = np.mod(spark_hash(doc), buckets)
-            order = np.lexsort((doc, part))
-            doc, h, part = doc[order], h[order], part[order]
-            cuts = np.searchsorted(part, np.arange(buckets + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(cuts)):
-                docs, counts = np.unique(doc[cuts[k] : cuts[k + 1]], return_counts=True)
-                head = np.array([len(docs)], np.int64).tobytes()
-                rows.append((k, b"".join(len(x).to_bytes(8, "little") + x for x in (head, planes(deltas(docs.view(np.uint64))), planes(counts.astype(np.uint64)), h[cuts[k] : cuts[k + 1]].tobytes()))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "hits"])
+            if parts:
+                yield pack_hits(*reduce(*[np.concatenate(x) for x in zip(*parts, strict=True)]), buckets, wide)
 
         for b in batches:
             for r in b.to_pylist():
@@ -153,30 +208,21 @@ def by_bucket(packed: DataFrame, buckets: int, reduce: Callable, what: str) -> D
                 parts.append(unpack(r))
         yield from done()
 
-    return written(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, hits binary"), what)
+    own = packed_anew(packed, bits, buckets, wide) if wide > 1 else packed
+    hits = own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, hits binary")
+    return written(hits_anew(hits, buckets, wide, dtype) if wide > 1 else hits, what)
 
 
 class Hits:
     """The hashes of each document of a part."""
 
     def __init__(self, rows: list[bytes], dtype):
-        docs, counts, values = [], [], []
-        for raw in rows:
-            fields, at = [], 0
-            while at < len(raw):
-                n = int.from_bytes(raw[at : at + 8], "little")
-                fields.append(raw[at + 8 : at + 8 + n])
-                at += 8 + n
-            n = int(np.frombuffer(fields[0], np.int64)[0])
-            docs.append(np.cumsum(unplanes(fields[1], n)).view(np.int64))
-            counts.append(unplanes(fields[2], n).astype(np.int64))
-            values.append(np.frombuffer(fields[3], dtype))
-        if not docs:
+        if not rows:
             self.docs, self.off, self.values = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, dtype)
             return
-        doc = np.concatenate([np.repeat(d, c) for d, c in zip(docs, counts, strict=True)])
+        doc, values = (np.concatenate(x) for x in zip(*(unpack_hits(raw, dtype) for raw in rows), strict=True))
         order = np.argsort(doc, kind="stable")
-        self.values = np.concatenate(values)[order]
+        self.values = values[order]
         self.docs, first = np.unique(doc[order], return_index=True)
         self.off = np.append(first, len(doc))
 
@@ -255,11 +301,11 @@ def _parts(rows: DataFrame) -> int:
 
 def repeats(docs: DataFrame, buckets: int, *, window: int = WINDOW) -> DataFrame:
     """Packed hashes (64 bits) of each document's windows that start in a document with a smaller id; docs: (id, text)."""
-    block = (window + 1) // 2
+    block, wide = (window + 1) // 2, lane_width(buckets)
     rows = docs.where(F.col("id").isNotNull() & (F.length("text") >= 2 * window - 1))
 
     def anchors(batches):
-        packer = Packer(HASH_BITS, buckets)
+        packer = Packer(HASH_BITS, buckets, wide)
         for b in batches:
             for i, j, s in textkit.slices(b.column(1)):
                 ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
@@ -271,14 +317,14 @@ def repeats(docs: DataFrame, buckets: int, *, window: int = WINDOW) -> DataFrame
                 yield from packer.add(ids, doc, h >> np.uint64(64 - HASH_BITS), (at - s.word_off[doc]) % block == 0)
         yield from packer.flush()
 
-    hits = by_bucket(rows.mapInArrow(anchors, Packer.schema), buckets, shared_blocks, "anchors")
+    hits = by_bucket(rows.mapInArrow(anchors, Packer.schema), HASH_BITS, buckets, wide, shared_blocks, np.uint32, "anchors")
 
     def extend():
         packer = None
 
         def work(ids, s, hits):
             nonlocal packer
-            packer = packer or Packer(64, buckets)
+            packer = packer or Packer(64, buckets, wide)
             if s is None:
                 yield from packer.flush()
                 return
@@ -298,7 +344,7 @@ def repeats(docs: DataFrame, buckets: int, *, window: int = WINDOW) -> DataFrame
 
         return work
 
-    return by_bucket(beside(rows, hits, buckets, np.uint32, extend(), Packer.schema), buckets, not_the_first, "repeats")
+    return by_bucket(beside(rows, hits, buckets, np.uint32, extend(), Packer.schema), 64, buckets, wide, not_the_first, np.uint64, "repeats")
 
 
 def remove(docs: DataFrame, found: DataFrame, buckets: int, *, window: int = WINDOW) -> DataFrame:
