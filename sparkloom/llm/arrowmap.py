@@ -32,6 +32,14 @@ def map_text(df: DataFrame, id_col: str, text_col: str, make: Callable[[pa.Array
     return df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(more)]).mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts as Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrowmap import fresh
 from sparkloom.plans.shared import written
 
 WINDOW, LONG_WORDS, LEAST_SHARE = 8, 11, 0.6
@@ -148,6 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    bad = written(leaks(docs, benchmark, id_col=id_col, **more).select(F.col(id_col).alias("__bad")).distinct(), "leaks")
+    name = fresh(docs, "__bad")
+    bad = written(leaks(docs, benchmark, id_col=id_col, **more).select(F.col(id_col).alias(name)).distinct(), "leaks")
     few = bad.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(bad) if few else bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, F.col(id_col) == F.col(name), "left_anti")

@@ -341,9 +341,10 @@ def encode(docs: DataFrame, data: bytes, *, id_col: str = "doc_id", text_col: st
 
 
 def with_ids(docs: DataFrame, data: bytes, *, text_col: str = "text", to: str = "token_ids") -> DataFrame:
-    """The rows with all their columns and their ids."""
+    """The rows with all their columns and their ids; a column that has the ids' name goes."""
     from pyspark.sql import types as T
 
+    docs = docs.drop(to)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
     held = Held(data)

@@ -60,3 +60,31 @@ def test_stages(spark, sf_dir):
         assert out.count() == 0
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null ids and texts, repeated rows, a text longer than a slice, and further columns with names that the stages use."""
+    base = queries.table(spark, sf_dir, "documents")
+    schema = base.schema
+    long = " ".join(words(50_000, 9, 6000)) + '. api_key = "abcdef123456"'
+    item = "a river crosses the plain and turns north where the old mill stands beside the wooden bridge"
+    some = " ".join(words(90, 77, 6000)) + "."
+    odd = [(None, some, "en", "s", 1), (None, None, "en", "s", 0), (300, None, "en", "s", 0), (301, "", "en", "s", 0), (302, some, "en", "s", 1), (302, some, "en", "s", 1), (303, some, "en", "s", 1), (304, long, "en", "s", 1), (305, item, "en", "s", 1), (305, item, "en", "s", 1), (None, item, "en", "s", 1)]
+    names = ("id", "key", "component", "rep", "__gone", "__bad", "__id", "token_ids", "part", "salt", "h")
+    df = spark.createDataFrame(odd, schema).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    key = lambda d: sorted((str(r.doc_id), r.text or "") for r in d.collect())
+    judged = stages[0](spark, df.unionByName(base.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])), sf_dir)
+    assert judged.columns == df.columns and {304, 302} <= {r.doc_id for r in judged.collect()}
+    single = stages[1](spark, df, sf_dir)
+    assert single.columns == df.columns and key(single) == sorted((str(d), t or "") for d, t, *_ in odd if d != 303)
+    clean = stages[2](spark, single, sf_dir)
+    assert clean.columns == df.columns and key(clean) == sorted((str(d), t or "") for d, t, *_ in odd if d not in (303, 305))
+    masked = stages[3](spark, clean, sf_dir)
+    by = {r.doc_id: r.text for r in masked.collect()}
+    assert masked.columns == df.columns and masked.count() == clean.count() and len(by[304]) == len(long) and by[304].endswith("*" * 23 + '"') and by[300] is None
+    coded = stages[4](spark, masked, sf_dir)
+    codec = pieces.Codec(pieces.read_model(MODEL))
+    assert coded.columns == [*[c for c in df.columns if c != "token_ids"], "token_ids"]
+    for r in coded.collect():
+        assert codec.decode(r.token_ids) == (r.text or "") and [r[n] for n in names if n != "token_ids"] == [k for k, n in enumerate(names) if n != "token_ids"]
