@@ -10,7 +10,7 @@ from sparkloom.functions.vectors import l1
 from sparkloom.operators.ranges import quantiles
 from sparkloom.operators.schema import with_index
 from sparkloom.operators.similarity import knn_pairs, top_k
-from sparkloom.plans.shared import written
+from sparkloom.plans.shared import dealt_join, written
 
 
 def nearest_train(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def same_family_negatives(rows: DataFrame, components: DataFrame, unreviewed: Da
     """(i, j): pairs of one family, not of one component, not awaiting review.  rows: (id, family); components: (id, component); unreviewed: (i, j)."""
     r = rows.join(components, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
     a, b = (r.select(F.col("id").alias(i), "family", F.col("component").alias(f"c{i}")) for i in ("i", "j"))
-    pairs = a.join(b, "family").where((F.col("i") < F.col("j")) & (F.col("ci") != F.col("cj"))).select("i", "j")
+    pairs = dealt_join(a, b, ["family"], "i").where((F.col("i") < F.col("j")) & (F.col("ci") != F.col("cj"))).select("i", "j")
     key = unreviewed.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     return pairs.join(key, ["i", "j"], "left_anti")
 

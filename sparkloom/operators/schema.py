@@ -36,6 +36,11 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*[(F.coalesce(F.col(f.name).cast(f.dataType), F.lit(DEFAULTS[f.name])) if f.name in have else F.lit(DEFAULTS[f.name]).cast(f.dataType)).alias(f.name) for f in MANIFEST])
 
 
+def drop_transient(df: DataFrame) -> DataFrame:
+    """Without the columns that begin with ``_``: what a build keeps for itself."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def contract(df: DataFrame) -> DataFrame:
     """Projection to the contract; a missing column is an error."""
     if missing := [c for c in COLUMNS if c not in df.columns]:

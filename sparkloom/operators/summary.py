@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.strings import depth, file_stem, suffix
+from sparkloom.functions.strings import depth, file_stem, parent_key, suffix
+from sparkloom.operators.ranges import running
 
 
 def split_summary(df: DataFrame) -> DataFrame:
@@ -53,11 +54,9 @@ def size_stats(df: DataFrame, small: int = 224) -> DataFrame:
 
 def order_stat(df: DataFrame, value: str, shares: tuple[float, ...], *by: str) -> DataFrame:
     """Values at place int(share * n) (from 0) of the sorted values: neither of SQL's two percentiles."""
-    w = Window.partitionBy(*by)
-    c = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    c = c.withColumn("_up", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
-    at = lambda p: F.min(F.when(F.col("_up") > F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1), F.col(value)))
-    return c.groupBy(*by).agg(*[at(p).alias(f"p{round(p * 100)}") for p in shares], F.max("_n").alias("n"))
+    c = running(df.groupBy(*by, value).agg(F.count("*").alias("c")), value, ["c"], by)
+    at = lambda p: F.min(F.when(F.col("c_run") > F.least(F.floor(F.lit(p) * F.col("c_all")), F.col("c_all") - 1), F.col(value)))
+    return c.groupBy(*by).agg(*[at(p).alias(f"p{round(p * 100)}") for p in shares], F.max("c_all").alias("n"))
 
 
 def depths(df: DataFrame, path: str = "path") -> DataFrame:
@@ -90,3 +89,10 @@ def build_counts(manifest: DataFrame, constraints: DataFrame) -> DataFrame:
 def count_mismatches(counts: DataFrame, expected: DataFrame) -> DataFrame:
     """(name, n, expected) of counts (name, n) that differ from the expected ones, absent ones as null."""
     return counts.join(expected.select("name", F.col("n").alias("expected")), "name", "full").where(~F.col("n").eqNullSafe(F.col("expected")))
+
+
+def path_facts(df: DataFrame, path: str = "path") -> DataFrame:
+    """One row: files, depths, different directories, and files whose path holds each kind of separator."""
+    p, d = F.col(path), depth(F.col(path))
+    has = lambda c, name: F.count_if(F.instr(file_stem(p), c) > 0).alias(name)
+    return df.agg(F.count(path).alias("n"), F.min(d).alias("depth_min"), F.max(d).alias("depth_max"), F.count_distinct(parent_key(p)).alias("n_dirs"), has("_", "underscores"), has("-", "hyphens"), has(" ", "spaces"), has(".", "dots"))

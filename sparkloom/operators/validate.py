@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.schema import COLUMNS, ENUMS, NO_SEED
+from sparkloom.plans.shared import written
 
 
 def _row_checks(train_method: str) -> dict[str, tuple[Column, str]]:
@@ -38,12 +39,17 @@ def _counted(df: DataFrame, check: str, message: str) -> DataFrame:
 
 
 def report(df: DataFrame, label_map: DataFrame | None = None, *, train_method: str = "kmeans_palette_swap", files: DataFrame | None = None) -> DataFrame:
-    """(check_id, n_bad, message) of every check; label_map: (design_id, label); files: (path) that exist."""
+    """(check_id, n_bad, message) of every check; label_map: (design_id, label); files: (path) that exist.
+
+    The manifest is written once, as every group of checks reads it.
+    """
+    in_order = df.columns == COLUMNS
+    df = written(df, "manifest")
     rules = _row_checks(train_method)
     flat = df.agg(*[F.count_if(bad).alias(k) for k, (bad, _) in rules.items()], *[F.count_if(F.col("split") == s).alias(f"_{s}") for s in ("val", "test")])
     one = F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(k).alias("n_bad"), F.lit(m).alias("message")) for k, (_, m) in rules.items()], F.struct(F.lit("CK-13").alias("check_id"), ((F.col("_val") == 0).cast("long") + (F.col("_test") == 0).cast("long")).alias("n_bad"), F.lit("no row is in val, or none in test").alias("message")))
     out = [flat.select(F.explode(one).alias("c")).select("c.*")]
-    order = F.lit(0 if df.columns == COLUMNS else 1).cast("long")
+    order = F.lit(0 if in_order else 1).cast("long")
     out.append(df.sparkSession.range(1).select(F.lit("CK-22").alias("check_id"), order.alias("n_bad"), F.lit("columns stand in another order").alias("message")))
 
     def spans(check: str, column: str, rows: DataFrame, message: str) -> None:

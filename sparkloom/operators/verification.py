@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ranges import quantiles, running
+from sparkloom.plans.shared import dealt_join
 
 
 def curve(pairs: DataFrame, *by: str) -> DataFrame:
@@ -152,15 +153,14 @@ def stress_pairs(rows: DataFrame, scores, tier: int = 1) -> DataFrame:
     from sparkloom.functions.vectors import cosine
 
     r = rows.where(F.coalesce("palette", F.lit("")) != "")
-    a = r.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "design", "palette", "family", "vec")])
-    b = r.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "design", "palette", "family", "vec")])
+    side = lambda p, *keep: r.select(*keep, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "design", "palette", "family", "vec") if c not in keep])
     less = F.col("a_id") < F.col("b_id")
-    same = a.join(b, (F.col("a_design") == F.col("b_design")) & less).withColumn("genuine", F.lit(True))
-    other = a.join(b, (F.col("a_palette") == F.col("b_palette")) & (F.col("a_design") != F.col("b_design")) & less)
+    same = dealt_join(side("a", "design"), side("b", "design"), ["design"], "a_id").where(less).withColumn("genuine", F.lit(True))
+    other = dealt_join(side("a", "palette"), side("b", "palette"), ["palette"], "a_id").where(less & (F.col("a_design") != F.col("b_design")))
     if tier == 2:
         other = other.where((F.col("a_family") == F.col("b_family")) & (F.col("a_family") != ""))
-    both = same.unionByName(other.withColumn("genuine", F.lit(False)))
-    return both.select("a_id", "b_id", "genuine", F.round(cosine("a_vec", "b_vec"), 9).alias("score"))
+    out = lambda d: d.select("a_id", "b_id", "genuine", F.round(cosine("a_vec", "b_vec"), 9).alias("score"))
+    return out(same).unionByName(out(other.withColumn("genuine", F.lit(False))))
 
 
 def stress_report(pairs: DataFrame, threshold: DataFrame | None = None, tier: int = 1) -> DataFrame:

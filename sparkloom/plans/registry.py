@@ -493,8 +493,7 @@ def _checks_sql(t: str, order_broken: int = 0) -> str:
 
 
 def _report(df: DataFrame, spark, d) -> DataFrame:
-    """Checks against the label map and files of the manifest as it was built; every synthetic image but those of paths with a 7 in the seed exists."""
-    df = written(df, "manifest")
+    """Checks against the label map and files of the manifest as it was built; every synthetic image but those of with 77 in the seed exists."""
     _, splits = split_rows(spark, d)
     found = records(spark, d).select("path").unionByName(df.where("is_synthetic").select("path").where(~F.col("path").rlike("_[0-9]*77[0-9]*_")))
     return validate.report(df, schema.label_map(splits), train_method=TRAIN_METHOD, files=found).select("check_id", "n_bad")
@@ -942,3 +941,47 @@ def palette_tally(spark, d):
     hist = items(spark, d).select("id", normalise("vec").alias("u")).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.abs(F.get("u", i * 8))).alias("hist"))
     met = hist.join(hist.select((F.col("id") - 1).alias("id"), F.col("hist").alias("other")), "id")
     return audit.palette_tally(met.select(F.when(F.col("id") % 9 == 0, F.lit(float("nan"))).otherwise(l1("hist", "other") / 3).alias("hue_overlap")))
+
+
+@query(f"WITH {NAMES} SELECT count(*) AS n, min(len(string_split(path, '/')) - 1)::INT AS depth_min, max(len(string_split(path, '/')) - 1)::INT AS depth_max, count(DISTINCT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '<root>' END) AS n_dirs, count(*) FILTER (contains({STEM}, '_')) AS underscores, count(*) FILTER (contains({STEM}, '-')) AS hyphens, count(*) FILTER (contains({STEM}, ' ')) AS spaces, count(*) FILTER (contains({STEM}, '.')) AS dots FROM n")
+def path_facts(spark, d):
+    return summary.path_facts(names(spark, d))
+
+
+@query(f"WITH RECURSIVE {EXACT}, e AS (SELECT i, j FROM pairs WHERE distance <= 8 UNION ALL SELECT j, i FROM pairs WHERE distance <= 8), reach(id, c) AS (SELECT id, id FROM h UNION SELECT e.j, r.c FROM reach r JOIN e ON e.i = r.id), comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id) SELECT id, printf('doc_d%05d', dense_rank() OVER (ORDER BY c) - 1) AS name FROM comp")
+def numbered_designs(spark, d):
+    """Components named by their place in the order of components."""
+    return curation.numbered(curation.duplicate_groups(hashes(spark, d), 8, "exact"), "doc").select("id", "name")
+
+
+@query(f"""WITH RECURSIVE {EXACT}, v AS (SELECT i, j FROM pairs WHERE distance BETWEEN 1 AND 8 AND (i + j) % 4 <> 3), e AS (SELECT i, j FROM v UNION ALL SELECT j, i FROM v), reach(id, c) AS (SELECT id, id FROM h UNION SELECT e.j, r.c FROM reach r JOIN e ON e.i = r.id) SELECT id AS dup_group, min(c) AS merged FROM reach GROUP BY id""")
+def merged_groups(spark, d):
+    """Groups that verified pairs show to be the same pixels (here near hashes, some with an overlap or a correlation that is too low)."""
+    h = hashes(spark, d)
+    pairs = similarity.hamming_pairs(h, 8, mode="exact").where("distance > 0")
+    odd = (F.col("i") + F.col("j")) % 8
+    verified = pairs.select(F.col("i").alias("a"), F.col("j").alias("b"), F.when(odd == 3, 0.5).otherwise(0.9).alias("overlap"), F.when(odd == 7, F.lit(float("nan"))).otherwise(0.97).alias("ncc"))
+    return curation.merge_groups(h.select(F.col("id").alias("dup_group")), verified)
+
+
+@query(f"WITH {MANIFEST} SELECT image_id, design_id FROM real WHERE design_id IN (SELECT DISTINCT design_id FROM real ORDER BY design_id LIMIT 20)")
+def smoke_subset(spark, d):
+    """Rows of the first twenty designs: a subset is the feature."""
+    return curation.first_designs(based(spark, d).select("image_id", "design_id"), 20)
+
+
+@query("SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 2 = 0 THEN 'even' END, nullif(lang, 'en'), CASE WHEN doc_id % 3 = 0 THEN 'third' END) AS notes FROM documents")
+def joined_notes(spark, d):
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", strings.join_notes(F.when(k % 2 == 0, "even").otherwise(""), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")), F.when(k % 3 == 0, "third")).alias("notes"))
+
+
+@query(f"WITH {MANIFEST}, a AS (SELECT x.image_id AS image_id, y.image_id AS nearest_image_id, x.n_chars / 7.0 AS cosine FROM real x JOIN real y ON y.doc_id = x.doc_id + 2 WHERE x.split = 'test'), p AS (SELECT x.image_id AS a, y.image_id AS b FROM real x JOIN real y ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 3 = 0), two AS (SELECT a AS image_id, b AS partner FROM p UNION ALL SELECT b, a FROM p), fst AS (SELECT image_id, min(partner) AS accepted FROM two JOIN (SELECT image_id AS partner FROM real WHERE split = 'train') USING (partner) GROUP BY image_id) SELECT a.image_id AS test_image_id, coalesce(accepted, nearest_image_id) AS other_image_id, CASE WHEN accepted IS NOT NULL THEN 'accepted pair' ELSE 'nearest train' END AS kind FROM a LEFT JOIN fst USING (image_id)")
+def audit_partners(spark, d):
+    """Partners of test images: accepted pairs of neighbours by id first, else what an audit (here the next but one) found."""
+    rows, splits = split_rows(spark, d)
+    real = written(rows.join(splits, "design_id").select("id", "image_id", "score", "split"), "real")
+    after = lambda n, c: real.select((F.col("id") - n).alias("id"), F.col("image_id").alias(c))
+    found = real.where("split = 'test'").join(after(2, "nearest_image_id"), "id").select("image_id", "nearest_image_id", (F.col("score") / 7.0).alias("cosine"))
+    accepted = real.where("id % 3 = 0").select("id", F.col("image_id").alias("image_id_a")).join(after(1, "image_id_b"), "id").select("image_id_a", "image_id_b")
+    return audit.partners(accepted, found, real)

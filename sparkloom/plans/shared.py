@@ -91,3 +91,10 @@ def join_by_size(big: DataFrame, small: DataFrame, keys: list[str], size: str, w
     few = F.broadcast(hot.select(*keys))
     rest = big.join(few, keys, "left_anti").join(small.join(few, keys, "left_anti").drop(size), keys)
     return big.join(F.broadcast(hot.drop(size)), keys).unionByName(rest.select(*big.columns, *[c for c in small.columns if c not in (*keys, size)])) if not hot.isEmpty() else rest
+
+
+def dealt_join(a: DataFrame, b: DataFrame, keys: list[str], by: str, parts: int = 16) -> DataFrame:
+    """a inner-joined with b on keys of few values: a's rows of a key are dealt to so many tasks by a hash of column ``by``, each of which gets all of b's."""
+    left = a.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    right = b.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, [*keys, "__part"]).drop("__part")

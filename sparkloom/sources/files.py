@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.ids import manifest_fingerprint
 from sparkloom.operators import schema, summary
+from sparkloom.operators.audit import exclusion_counts
 from sparkloom.plans.shared import written
 
 C = TypeVar("C")
@@ -137,10 +138,11 @@ def data_summary(manifest: DataFrame, dead: DataFrame) -> str:
 
 def resolved_exclusions(found: DataFrame, manifest: DataFrame, rule: float) -> dict:
     """The document of resolved exclusions, with the fingerprint of the manifest it holds for."""
-    by = {r.reason: r.ids for r in found.groupBy("reason").agg(F.sort_array(F.collect_list("design_id")).alias("ids")).collect()}
-    link, ruled = by.get("link", []), by.get("rule", [])
-    counts = {"test_designs": sum(len(v) for v in by.values()), "reviewed_excluded": len(link), "rule_excluded": len(ruled), "reviewed_kept": len(by.get("kept_reviewed", [])), "unreviewed_kept": len(by.get("kept_unreviewed", []))}
-    counts["final_test_designs"] = counts["test_designs"] - len(link) - len(ruled)
+    out = found.where(F.col("reason").isin("link", "rule"))  # what the document lists; those kept are only counted
+    link, ruled = ([r.design_id for r in out.where(F.col("reason") == k).orderBy("design_id").toLocalIterator()] for k in ("link", "rule"))
+    c = exclusion_counts(found).first()
+    counts = {"test_designs": c.test_designs, "reviewed_excluded": c.link, "rule_excluded": c.rule, "reviewed_kept": c.kept_reviewed, "unreviewed_kept": c.kept_unreviewed}
+    counts["final_test_designs"] = c.final_test_designs
     return {"manifest_fingerprint": manifest_fingerprint(manifest.where("NOT is_synthetic")).first().fingerprint, "excluded": link + ruled, "reviewed_excluded": link, "rule_excluded": ruled, "rule_threshold": rule, "counts": counts}
 
 

@@ -294,7 +294,7 @@ def test_mutation(valid, check, change):
 
 
 def test_require_valid_names_the_check(valid):
-    with pytest.raises(ValueError, match="CK-20.*no query_kind"):
+    with pytest.raises(ValueError, match="CK-20.*lack their kind"):
         validate.require_valid(valid.withColumn("query_kind", F.lit("")))
 
 
@@ -306,7 +306,7 @@ def test_exclusions(spark):
     vec = spark.createDataFrame([(f"i{k}", k, [math.cos(a), math.sin(a)]) for k, a in enumerate([0, 1, 2, 3, 2.05, 4, 2.04])], "image_id string, id long, vec array<double>")
     found = audit.exclusions(links, spark.createDataFrame([("i2",)], "image_id string"), m, vec)
     assert dict(one(found)) == {"d0": "link", "d2": "kept_reviewed", "d4": "rule", "d5": "kept_unreviewed"}
-    assert one(audit.exclusion_counts(found)) == [(4, 1, 1, 1, 1)]
+    assert one(audit.exclusion_counts(found)) == [(4, 1, 1, 1, 1, 2)]
     doc = files.resolved_exclusions(found, m, 0.9)
     assert doc["excluded"] == ["d0", "d4"] and files.reuse_exclusions(doc, m) == ["d0", "d4"]
     with pytest.raises(ValueError, match="resolved for manifest"):
