@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of one row a key up to which it is broadcast, by count.
 MAX_BROADCAST_ROWS = 200_000
+#: Bytes of its files up to which such a table is (long texts make few rows large).
+MAX_BROADCAST_BYTES = 16 << 20
 #: Rows of one key from which the key's rows are joined without a shuffle.
 HOT_ROWS = 1_000
 #: Seconds between two collections of garbage on the driver, which let go of the shuffle files of plans that are over.
@@ -77,6 +79,11 @@ def partitions(spark: SparkSession, size: int, each: int) -> int:
     return max(least, min(1 << 20, size // each + 1)) if size < 1 << 55 else least
 
 
+def is_small(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a written table may be broadcast, by the size of its files and its rows."""
+    return plan_bytes(table) <= MAX_BROADCAST_BYTES and table.count() <= (MAX_BROADCAST_ROWS if most is None else most)
+
+
 def join_by_size(big: DataFrame, small: DataFrame, keys: list[str], size: str, what: str = "sizes") -> DataFrame:
     """big inner-joined with small, which has one row a key and in ``size`` the key's rows in big; no key's rows meet in one task.
 
@@ -85,7 +92,7 @@ def join_by_size(big: DataFrame, small: DataFrame, keys: list[str], size: str, w
     or ``HOT_ROWS`` each at most, and are shuffled.
     """
     small = written(small, what)
-    if small.count() <= MAX_BROADCAST_ROWS:
+    if is_small(small):
         return big.join(F.broadcast(small.drop(size)), keys)
     hot = written(small.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size), *keys).limit(MAX_BROADCAST_ROWS), f"hot-{what}")
     few = F.broadcast(hot.select(*keys))
