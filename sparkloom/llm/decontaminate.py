@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrowmap import fresh
-from sparkloom.plans.shared import written
+from sparkloom.plans.shared import is_small, written
 
 WINDOW, LONG_WORDS, LEAST_SHARE = 8, 11, 0.6
 SHORT_WINDOW, LEAST_WORDS = 5, 3
@@ -115,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         index = index.unionByName(p)
     index = written(index, "items")
     about = index.groupBy("width").agg(F.count("*").alias("n")).collect()  # one row for each of a few widths
-    widths, few = {r.width for r in about}, sum(r.n for r in about) <= MAX_BROADCAST_WINDOWS
+    widths, few = {r.width for r in about}, is_small(index, MAX_BROADCAST_WINDOWS)
     # Beyond the bound every part of the documents meets all windows, so that a frequent window has several tasks.
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     dealt = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

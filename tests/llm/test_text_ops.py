@@ -122,7 +122,7 @@ def brute_url(url, rules, listed):
 @pytest.fixture
 def large(monkeypatch):
     """Every list counts as too long for a broadcast, and few rows of one key as many."""
-    for module, name, value in ((urls, "MAX_BROADCAST_ENTRIES", 0), (urls, "MAX_BROADCAST_ROWS", 0), (shared, "MAX_BROADCAST_ROWS", 3), (shared, "HOT_ROWS", 4), (components, "MAX_BROADCAST_ROWS", 0),
+    for module, name, value in ((urls, "MAX_BROADCAST_ENTRIES", 0), (shared, "MAX_BROADCAST_ROWS", 3), (shared, "HOT_ROWS", 4), (components, "MAX_BROADCAST_ROWS", 0),
                                 (nearcopies, "MAX_BROADCAST_IDS", 0), (nearcopies, "HOT_ROWS", 2), (decontaminate, "MAX_BROADCAST_WINDOWS", 0), (decontaminate, "MAX_BROADCAST_IDS", 0), (licences, "MAX_BROADCAST_DIRS", 0)):
         monkeypatch.setattr(module, name, value)
 
