@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from sparkloom.llm import textkit
 
 
+#: Bytes of an Arrow batch: one is in memory several times, in the JVM and in the worker, for every task.
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of about ``BATCH_BYTES``; the setting is the session's, and one that the session has already stays."""
+    spark = df.sparkSession
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_text(df: DataFrame, id_col: str, text_col: str, make: Callable[[pa.Array, pa.Array, textkit.Slice], dict | None], schema: str, *more: str) -> DataFrame:
     """Maps documents to rows.
 
@@ -29,7 +41,7 @@ def map_text(df: DataFrame, id_col: str, text_col: str, make: Callable[[pa.Array
                     yield pa.RecordBatch.from_arrays([out[f] if isinstance(out[f], pa.Array) else pa.array(out[f]) for f in fields], names=fields)
 
     # Under other names, so that columns with clashing names can't disturb.
-    return df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(more)]).mapInArrow(run, schema)
+    return arrow_map(df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(more)]), run, schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:

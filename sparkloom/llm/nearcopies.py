@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textkit
-from sparkloom.llm.arrowmap import map_text
+from sparkloom.llm.arrowmap import arrow_map, map_text
 from sparkloom.llm.textkit import mix
 from sparkloom.operators.components import connected_components
 from sparkloom.plans.shared import HOT_ROWS, join_by_size, written
@@ -173,7 +173,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "sim"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streamed = members.unionByName(hubs).repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(run, "a long, b long, sim double")
+    streamed = arrow_map(members.unionByName(hubs).repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "role"), run, "a long, b long, sim double")
     return written(streamed.groupBy("a", "b").agg(F.max("sim").alias("sim")), "sims")
 
 
@@ -205,7 +205,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], names=["piece", "counts"])
 
     out = np.zeros((PIECES, COUNTERS // PIECES), np.int64)
-    summed = texts.select("text").mapInArrow(count, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary")
+    summed = arrow_map(arrow_map(texts.select("text"), count, "piece int, counts binary").repartition(PIECES, "piece"), add, "piece int, counts binary")
     for r in summed.collect():  # PIECES rows
         out[r.piece] = np.frombuffer(r.counts, np.int64)
     return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
@@ -234,7 +234,7 @@ def crossing(texts: DataFrame, similarity: float) -> DataFrame:
                 d = pa.array(doc[at])
                 yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), b.column(0).slice(i, j - i).take(d), b.column(1).slice(i, j - i).take(d), pa.array(n[doc[at]]), pa.array(place[at])], names=["x", "id", "c", "n", "i"])
 
-    rows = written(texts.select("id", "c", "text").mapInArrow(prefixes, "x long, id long, c long, n long, i long"), "prefixes")
+    rows = written(arrow_map(texts.select("id", "c", "text"), prefixes, "x long, id long, c long, n long, i long"), "prefixes")
     by = rows.groupBy("x", "c").agg(F.count("*").alias("m"))
     mixed = by.groupBy("x").agg(F.max_by("c", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1").select("x", "main", "m", (1 + F.col("m") / HOT_ROWS).cast("int").alias("salts"))
     mixed = written(join_by_size(rows, mixed, ["x"], "m", what="elements"), "mixed")

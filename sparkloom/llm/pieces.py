@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkloom.llm import textkit
+from sparkloom.llm.arrowmap import arrow_map
 
 MARK = "▁"
 #: Bytes of segments that a worker keeps; segments encoded, and ids decoded, at once; threads of an encoding batch.
-CACHE_BYTES, BATCH, DECODED, THREADS = 40 << 20, 4096, 1 << 16, 2
+CACHE_BYTES, BATCH, DECODED, THREADS = 32 << 20, 4096, 1 << 16, 2
 #: The marker's bytes.
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
 # Fixed values of the model format: field numbers, piece types, model types.
@@ -337,7 +338,7 @@ def encode(docs: DataFrame, data: bytes, *, id_col: str = "doc_id", text_col: st
         finally:
             held.free()
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} long, ids array<int>, parity boolean, round_trip boolean")
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, f"{id_col} long, ids array<int>, parity boolean, round_trip boolean")
 
 
 def with_ids(docs: DataFrame, data: bytes, *, text_col: str = "text", to: str = "token_ids") -> DataFrame:
@@ -358,7 +359,7 @@ def with_ids(docs: DataFrame, data: bytes, *, text_col: str = "text", to: str =
         finally:
             held.free()
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def decode(rows: DataFrame, data: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -376,4 +377,4 @@ def decode(rows: DataFrame, data: bytes, *, id_col: str = "doc_id", ids_col: str
         finally:
             held.free()
 
-    return rows.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"{id_col} long, text string")
+    return arrow_map(rows.select(F.col(id_col), F.col(ids_col)), run, f"{id_col} long, text string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import stats
-from sparkloom.llm.arrowmap import map_text
+from sparkloom.llm.arrowmap import arrow_map, map_text
 
 #: Labelled rows to learn from at most.
 MAX_ROWS = 20_000
@@ -115,7 +115,7 @@ def keep_good(docs: DataFrame, model: Discriminant, *, text_col: str = "text") -
                 if kept.num_rows:
                     yield kept
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def held_out(id_col: str, fold: tuple[int, int] = (3, 1)):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkloom.llm import textkit
-from sparkloom.llm.arrowmap import int64, map_text
+from sparkloom.llm.arrowmap import arrow_map, int64, map_text
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -307,4 +307,4 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                     part = part.set_column(at, b.schema.field(at), pa.array(values, col.type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textkit
+from sparkloom.llm.arrowmap import arrow_map
 from sparkloom.plans.shared import partitions, plan_bytes, written
 
 WINDOW = 50
@@ -164,7 +165,7 @@ def packed_anew(packed: DataFrame, bits: int, buckets: int, wide: int) -> DataFr
         yield from packer.flush()
 
     some = F.pmod(F.crc32("hashes"), F.lit(wide))
-    return packed.repartition(buckets, F.col("bucket"), some).sortWithinPartitions("bucket").mapInArrow(run, Packer.schema)
+    return arrow_map(packed.repartition(buckets, F.col("bucket"), some).sortWithinPartitions("bucket"), run, Packer.schema)
 
 
 def hits_anew(hits: DataFrame, buckets: int, wide: int, dtype) -> DataFrame:
@@ -183,7 +184,7 @@ def hits_anew(hits: DataFrame, buckets: int, wide: int, dtype) -> DataFrame:
             yield pack_hits(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, 1)
 
     some = F.pmod(F.crc32("hits"), F.lit(wide))
-    return hits.repartition(buckets, F.col("part"), some).sortWithinPartitions("part").mapInArrow(run, "part long, hits binary")
+    return arrow_map(hits.repartition(buckets, F.col("part"), some).sortWithinPartitions("part"), run, "part long, hits binary")
 
 
 def by_bucket(packed: DataFrame, bits: int, buckets: int, wide: int, reduce: Callable, dtype, what: str) -> DataFrame:
@@ -209,7 +210,7 @@ def by_bucket(packed: DataFrame, bits: int, buckets: int, wide: int, reduce: Cal
         yield from done()
 
     own = packed_anew(packed, bits, buckets, wide) if wide > 1 else packed
-    hits = own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, hits binary")
+    hits = arrow_map(own.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "part long, hits binary")
     return written(hits_anew(hits, buckets, wide, dtype) if wide > 1 else hits, what)
 
 
@@ -262,7 +263,7 @@ def beside(rows: DataFrame, hits: DataFrame, buckets: int, dtype, work: Callable
 
         yield from work(None, None, None)
 
-    return both.repartition(buckets, "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    return arrow_map(both.repartition(buckets, "part").sortWithinPartitions("part", "kind"), run, schema)
 
 
 def shared_blocks(doc: np.ndarray, h: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +318,7 @@ def repeats(docs: DataFrame, buckets: int, *, window: int = WINDOW) -> DataFrame
                 yield from packer.add(ids, doc, h >> np.uint64(64 - HASH_BITS), (at - s.word_off[doc]) % block == 0)
         yield from packer.flush()
 
-    hits = by_bucket(rows.mapInArrow(anchors, Packer.schema), HASH_BITS, buckets, wide, shared_blocks, np.uint32, "anchors")
+    hits = by_bucket(arrow_map(rows, anchors, Packer.schema), HASH_BITS, buckets, wide, shared_blocks, np.uint32, "anchors")
 
     def extend():
         packer = None

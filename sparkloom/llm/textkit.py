@@ -170,6 +170,19 @@ def _cut(column: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np
         i = j
 
 
+def _frugal() -> None:
+    """Lets the C library return what is freed at a heap's end, and map large arrays on their own (its own thresholds grow with use)."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+_frugal()
+
+
 def tidy() -> None:
     """Gives memory back to the system, tables of powers too: workers live on between tasks, beside the JVM."""
     _powers.clear()
