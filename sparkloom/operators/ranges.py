@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from sparkloom.plans.shared import written
 
 
-def running(counts: DataFrame, value: str, sums: list[str], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+def running(counts: DataFrame, value: str, sums: list[str], by: tuple[str, ...] = (), descending: bool = False, reuse: bool = False) -> DataFrame:
     """Adds, in the order of a value that occurs once (in each group): place from 1, and for each column x of sums
     x_run (sum up to here), x_all (sum of all) and x_next (of the next row; null for the last).
 
-    The table is written, so that several metrics read it.
+    reuse: the result is written, so that several metrics read it.
     """
     order = F.desc(value) if descending else F.asc(value)
     ranged = written(counts.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()), "ranges")
@@ -35,7 +35,7 @@ def running(counts: DataFrame, value: str, sums: list[str], by: tuple[str, ...]
     out = [*[F.col(c) for c in counts.columns], (F.col("place") + F.col("__place")).alias("place")]
     for x in sums:
         out += [(F.col(f"{x}_run") + F.col(f"__{x}_before")).alias(f"{x}_run"), F.col(f"{x}_all"), F.coalesce(f"{x}_next", F.col(f"__after.{x}")).alias(f"{x}_next")]
-    return written(met.select(*out), "running")
+    return written(met.select(*out), "running") if reuse else met.select(*out)
 
 
 def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:

@@ -16,10 +16,10 @@ from sparkloom.operators.ranges import quantiles, running
 from sparkloom.plans.shared import dealt_join
 
 
-def curve(pairs: DataFrame, *by: str) -> DataFrame:
+def curve(pairs: DataFrame, *by: str, reuse: bool = False) -> DataFrame:
     """Distinct scores from the highest: genuine and impostor pairs at each (p, n), from there up (p_run, n_run), in all (p_all, n_all) and at the next."""
     counted = pairs.groupBy(*by, "score").agg(F.count_if("genuine").alias("p"), F.count_if(~F.col("genuine")).alias("n"))
-    return running(counted, "score", ["p", "n"], by, descending=True)
+    return running(counted, "score", ["p", "n"], by, descending=True, reuse=reuse)
 
 
 def roc_curve(pairs: DataFrame, *by: str) -> DataFrame:
@@ -56,7 +56,7 @@ def equal_error_rate(pairs: DataFrame, *by: str) -> DataFrame:
     As in a curve without collinear points, a point between two steps of the same size and kind
     is left out; the curve starts at no accepts (threshold infinity).
     """
-    return eer_of(curve(pairs, *by), *by)
+    return eer_of(curve(pairs, *by, reuse=True), *by)
 
 
 def threshold_of(c: DataFrame, far: float, *by: str) -> DataFrame:
@@ -82,7 +82,7 @@ def at_threshold(counts: DataFrame, thresholds: DataFrame, *by: str) -> DataFram
 
 def evaluate(pairs: DataFrame, far: float = 1e-3, threshold: DataFrame | None = None, *by: str) -> DataFrame:
     """All verification metrics of a pair set, from one curve; NaN where a class is missing."""
-    c = curve(pairs, *by)
+    c = curve(pairs, *by, reuse=True)
     at = at_threshold(c, threshold if threshold is not None else threshold_of(c, far, *by), *by)
     auc, eer = auc_of(c, *by), eer_of(c, *by).withColumnRenamed("threshold", "eer_threshold")
     one = F.lit(1)
@@ -130,7 +130,7 @@ def pair_intervals(pairs: DataFrame, far: float = 1e-2, draws: int = 1000, seed:
     Draws are counted by score before they shuffle, so their size is draws x distinct scores.
     """
     counted = resampled(pairs, draws, seed).groupBy("draw", "score").agg(F.coalesce(F.sum(F.when(F.col("genuine"), F.col("weight"))), F.lit(0)).alias("p"), F.coalesce(F.sum(F.when(~F.col("genuine"), F.col("weight"))), F.lit(0)).alias("n"))
-    c = running(counted, "score", ["p", "n"], ("draw",), descending=True)
+    c = running(counted, "score", ["p", "n"], ("draw",), descending=True, reuse=True)
     # The impostor at a rank r from the lowest: the least score up to which more than r stand.
     rank = F.lit(1.0 - far) * (F.col("n_all") - 1)
     value_at = lambda r: F.min(F.when(F.col("n_all") - F.col("n_run") + F.col("n") > r, F.col("score")))
@@ -165,7 +165,7 @@ def stress_pairs(rows: DataFrame, scores, tier: int = 1) -> DataFrame:
 
 def stress_report(pairs: DataFrame, threshold: DataFrame | None = None, tier: int = 1) -> DataFrame:
     """One row: tier, roc_auc, eer, false accepts at a threshold, margin, counts, and a note if a class is missing."""
-    curve_of = curve(pairs)
+    curve_of = curve(pairs, reuse=True)
     mean = lambda x: F.try_divide(F.sum(F.col("score") * F.col(x)), F.sum(x))
     sums = curve_of.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("genuine"), F.coalesce(F.sum("n"), F.lit(0)).alias("impostor"), (mean("p") - mean("n")).alias("margin"))
     one = lambda d: d.withColumn("__one", F.lit(1))
