@@ -563,14 +563,14 @@ def page_paths(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
 
 
-NAMES = "n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a/Red_saree-' || doc_id || '_jpg.rf.' || md5(doc_id::VARCHAR) || '.jpg' WHEN 1 THEN 'a/b/image ' || doc_id || '.png' WHEN 2 THEN source || '/scarred (' || doc_id || ').webp' WHEN 3 THEN source || '/' || lang || '/dark blue.' || doc_id || '.TIFF' ELSE 'IMG_' || doc_id || '.txt' END AS path FROM documents)"
+NAMES = "n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a/Red_cloth-' || doc_id || '_jpg.rf.' || md5(doc_id::VARCHAR) || '.jpg' WHEN 1 THEN 'a/b/image ' || doc_id || '.png' WHEN 2 THEN source || '/scarred (' || doc_id || ').webp' WHEN 3 THEN source || '/' || lang || '/dark blue.' || doc_id || '.TIFF' ELSE 'IMG_' || doc_id || '.txt' END AS path FROM documents)"
 
 
 def names(spark, d) -> DataFrame:
     """File names of five kinds for the documents."""
     t = F.col("doc_id").cast("string")
     k = F.col("doc_id") % 5
-    p = F.when(k == 0, F.concat(F.lit("a/Red_saree-"), t, F.lit("_jpg.rf."), F.md5(t.cast("binary")), F.lit(".jpg"))).when(k == 1, F.concat(F.lit("a/b/image "), t, F.lit(".png"))).when(k == 2, F.concat("source", F.lit("/scarred ("), t, F.lit(").webp"))).when(k == 3, F.concat("source", F.lit("/"), "lang", F.lit("/dark blue."), t, F.lit(".TIFF"))).otherwise(F.concat(F.lit("IMG_"), t, F.lit(".txt")))
+    p = F.when(k == 0, F.concat(F.lit("a/Red_cloth-"), t, F.lit("_jpg.rf."), F.md5(t.cast("binary")), F.lit(".jpg"))).when(k == 1, F.concat(F.lit("a/b/image "), t, F.lit(".png"))).when(k == 2, F.concat("source", F.lit("/scarred ("), t, F.lit(").webp"))).when(k == 3, F.concat("source", F.lit("/"), "lang", F.lit("/dark blue."), t, F.lit(".TIFF"))).otherwise(F.concat(F.lit("IMG_"), t, F.lit(".txt")))
     return table(spark, d, "documents").select("doc_id", p.alias("path"))
 
 

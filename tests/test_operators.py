@@ -430,7 +430,7 @@ def corpus(spark, tmp_path_factory):
     for k in range(5):
         (flat / f"img_{10 + k}.png").write_bytes(png(texture(100 + k, 176)))
     (flat / "notes.txt").write_text("x")
-    for f, family in enumerate(("Banarasi", "Ikat")):
+    for f, family in enumerate(("Weave", "Print")):
         for d in range(3):
             img = texture(500 + 50 * f + d, 160)
             for c in range(3 if d == 0 else 1):
@@ -480,7 +480,7 @@ def test_folder_to_manifest_to_evaluation(spark, corpus):
     assert len({of[f"img_{10 + k}.png"].design_id for k in range(5)} | {of["img_2.png"].design_id}) == 6
     for f in range(2):
         copies = [r for p, r in of.items() if f"motif{f}0" in p]
-        assert len(copies) == 3 and len({r.dup_group for r in copies}) == 1 and sum(r.is_representative for r in copies) == 1 and {r.craft_family for r in copies} == {("Banarasi", "Ikat")[f]}
+        assert len(copies) == 3 and len({r.dup_group for r in copies}) == 1 and sum(r.is_representative for r in copies) == 1 and {r.craft_family for r in copies} == {("Weave", "Print")[f]}
     files_ = real.select("path").unionByName(drawn.select("path"))
     validate.require_valid(manifest, schema.label_map(manifest), files=files_)
     with pytest.raises(ValueError, match="CK-32"):
